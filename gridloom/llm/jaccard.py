@@ -373,10 +373,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns: of every component the document of the smallest id."""
     report = written(jaccard_components(docs).select("doc_id", "n_shingles", "component_id"))
     stay = report.where("doc_id = component_id or component_id is null or n_shingles = 0").select(F.coalesce("doc_id", F.lit(_NONE)).alias("_at"))
-    kept = docs.withColumn("_at", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_at"), F.xxhash64("text").alias("text"))
     repeated = stay.groupBy("_at").count().where("count > 1").limit(1).count() > 0
     kept = kept.join(stay.distinct() if repeated else stay, "_at", "left_semi")
     if repeated:  # rows of one id: the first of each text
-        w = Window.partitionBy("_at", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-        kept = kept.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        w = Window.partitionBy("_at", "text").orderBy("row")
+        kept = kept.withColumn("k", F.row_number().over(w)).where("k = 1")
+    return kept.select("row.*")

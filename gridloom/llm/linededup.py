@@ -112,12 +112,6 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(gap > 1, F.lit(False)).when(first == 0, F.lit(True)).otherwise(rest_long == rest_short)
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    gone = removed_lines(docs).groupBy("key").agg(F.array_sort(F.collect_set("number")).alias("_gone"))
-    rows = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    return rows.join(gone.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-
-
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document its lines, how many go, and their numbers (from 0) comma-joined."""
     slim = docs.select("doc_id", "text")
@@ -133,10 +127,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A document that loses every line that held a word goes; the others keep their place, and
     n_chars, where there is one, is the length of what is left.
     """
-    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, k: ~F.array_contains(F.col("_gone"), k))
-    marked = _marked(docs)
-    changed = F.size("_gone") > 0
-    out = marked.withColumn("_new", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
-    out = out.where(~changed | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_new").alias("text") if c == "text" else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns)
+    gone = removed_lines(docs).groupBy("key").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    rows = rows.join(gone, "key", "left")
+    changed = F.col("gone").isNotNull()
+    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, k: ~F.array_contains(F.col("gone"), k))
+    rows = rows.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
+    rows = rows.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

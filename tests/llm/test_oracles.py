@@ -1,0 +1,30 @@
+"""Registered queries against their SQL, and the pipeline's stages in order."""
+
+import duckdb
+import pytest
+
+from gridloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "mixing", "packing"]
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns[:3] == ["doc_id", "start", "length"]
+    ids = {r["doc_id"] for r in out.collect()}
+    assert ids < {r["doc_id"] for r in docs.select("doc_id").collect()}
