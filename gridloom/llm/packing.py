@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from unicodedata import is_normalized
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.shared import slices
+from gridloom.llm.shared import kept_in_worker, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -37,7 +38,7 @@ SENTENCE_CUT, OTHER_CUT, SEQUENCE = 2, 6, 8
 #: Tokens planned at once; cuts elsewhere are tried every GAP tokens.
 BLOCK, GAP = 1 << 18, 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -84,7 +85,7 @@ class WordIds:
         known, model, rest = self.known, self.tokenizer.model, []
         for w in fresh:
             if w.isalpha() and w.islower() and is_normalized("NFC", w):
-                known[w] = np.array([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))], np.uint32).tobytes()
+                known[w] = array("I", [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))]).tobytes()
             else:
                 rest.append(w)
         fresh = rest
@@ -228,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     content = tokenizer_json(tokenizer_path)
 
     def run(batches):
-        words = WordIds(content)
+        words = kept_in_worker(("words", hash(content)), lambda: WordIds(content))
         packer = Packer(words.sentence, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         names = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +49,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(rows: DataFrame, key: str, n: int, share: float, *then: str) -> DataFrame:
+    """The first n rows in the order of a hash of `key`, at most.
+
+    Only about 4 n / `share` rows of the smallest hashes, `share` being a low guess of how many
+    rows a caller's filters leave, are sorted at all, so no task sends n rows to the driver.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    total = rows.select(key).count()
+    few = rows.where(place < int(min(1.0, 4 * n / share / max(1, total)) * (1 << 40)))
+    return few.orderBy(place, key, *then).limit(n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one holds about `most` bytes of text; a longer text stays whole."""
     for batch in batches:
@@ -56,3 +70,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         step = max(1, int(batch.num_rows * most / size))
         for k in range(0, batch.num_rows, step):
             yield batch.slice(k, step)
+
+
+def kept_in_worker(key: object, make):
+    """What `make` gives, made once in a Python worker process and found again by its next tasks."""
+    store = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
