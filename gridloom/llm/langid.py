@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import slices
+from gridloom.llm.shared import first_by_hash, slices
 from gridloom.llm.toxicity import remainder
 from gridloom.llm.wordhash import buffer_of
 
@@ -205,7 +205,7 @@ def train(texts: list[str], languages: list[str]) -> Network | None:
 def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
     """At most SAMPLE rows with a language that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1) & (F.length("text") <= SAMPLE_CHARS))
-    rows = usable.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(SAMPLE).collect()
+    rows = first_by_hash(usable.select("doc_id", "text", "lang"), "doc_id", SAMPLE, 1.0, "lang", "text").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
