@@ -122,10 +122,9 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     by_doc = pairs.select("entity", "word", "n_entity", "key").distinct().groupBy("entity", "word", "n_entity").agg(F.count(F.lit(1)).alias("both"))
     by_context = pairs.select("entity", "word", "context").distinct().groupBy("entity", "word").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
     candidates = written(by_doc.join(by_context, ["entity", "word"]))
-    words = candidates.select("word").distinct()
     held = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{%d,}" % LEAST_LETTERS), F.lit(0)))).alias("word"))
     # counted before the join, so a frequent word is a row a task
-    df = held.groupBy("word").agg(F.count(F.lit(1)).alias("n_word")).join(words, "word", "left_semi")
+    df = held.groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
     judged = candidates.join(df, "word")
     pmi = F.log(n * F.col("both") / (F.col("n_word") * F.col("n_entity")))
     ic = F.log(n / F.col("n_entity"))
