@@ -107,3 +107,15 @@ def flag(condition: Column) -> Column:
 def surely(condition: Column) -> Column:
     """Null as false."""
     return F.coalesce(condition, F.lit(False))
+
+
+def in_months(ts: Column | str, year: int | None, months: tuple[int, ...]) -> Column:
+    """Whether a time lies in these months, of one year or any."""
+    c = F.month(col(ts)).isin(*months)
+    return c if year is None else c & (F.year(col(ts)) == year)
+
+
+def trimmed(df, wanted):
+    """The wanted columns the frame has, each once, in that order; and those it lacks."""
+    order = list(dict.fromkeys(wanted))
+    return df.select(*(c for c in order if c in df.columns)), [c for c in order if c not in df.columns]

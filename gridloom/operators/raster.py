@@ -202,3 +202,25 @@ def flattened(tiles: DataFrame, values: str = "values", fill: float | None = Non
     rows = rows.select((F.col("y0") + F.floor(F.col("k") / F.col("width"))).cast("int").alias("iy"), (F.col("x0") + F.col("k") % F.col("width")).cast("int").alias("ix"), "value")
     keep = F.col("value").isNotNull() & ~F.isnan("value")
     return rows.where(keep if fill is None else keep & (F.col("value") != fill))
+
+
+def with_draft(df: DataFrame, surface: str = "surface", thickness: str = "thickness", wet: str | None = None) -> DataFrame:
+    """Thickness without negative or missing values, the ice base's height and, with the deepest wet level, the depth to read there."""
+    t = F.when(F.col(thickness) >= 0, F.col(thickness)).otherwise(F.lit(0.0))
+    df = df.withColumn(thickness, t).withColumn("ice_draft", F.col(surface) - F.col(thickness))
+    return df if wet is None else df.withColumn("clamped_depth", F.least(F.abs("ice_draft"), F.col(wet)))
+
+
+def merged_domains(land: DataFrame, ocean: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Land values where there are any, else the ocean's; every cell of either."""
+    a, b = land.select(*keys, F.col(value).alias("_land")), ocean.select(*keys, F.col(value).alias("_ocean"))
+    return a.join(b, list(keys), "full").select(*keys, F.coalesce("_land", "_ocean").alias(value))
+
+
+def cropped(df: DataFrame, lat: str = "lat", north: float = -50.0) -> DataFrame:
+    return df.where(F.col(lat) <= north)
+
+
+def raised_by(static: DataFrame, dynamic: DataFrame, keys: Sequence[str], base: str, change: str, out: str) -> DataFrame:
+    """A static value plus a change in time, for every observation of the change."""
+    return dynamic.join(static.select(*keys, base), list(keys), "left").withColumn(out, F.col(base) + F.col(change))

@@ -135,3 +135,39 @@ def valid_cell_counts(spark, sf):
 def tile_flatten(spark, sf):
     tiles = table(spark, sf, "embeddings").select((F.col("vec_id") * 8).alias("y0"), F.lit(0).alias("x0"), F.lit(8).alias("width"), F.col("embedding").alias("values"))
     return raster.flattened(tiles)
+
+
+@query(f"WITH {_LATTICE} SELECT iy, ix, greatest(v - p_size * 40, 0) AS thickness, p_size * 3 - greatest(v - p_size * 40, 0) AS ice_draft, least(abs(p_size * 3 - greatest(v - p_size * 40, 0)), 200) AS clamped_depth FROM lattice")
+def draft_and_depth(spark, sf):
+    rows = lattice(spark, sf).select("iy", "ix", (F.col("p_size") * 3.0).alias("surface"), (F.col("v") - F.col("p_size") * 40).alias("thickness"), F.lit(200.0).alias("wet"))
+    return raster.with_draft(rows, wet="wet").select("iy", "ix", "thickness", "ice_draft", "clamped_depth")
+
+
+@query(f"WITH {_LATTICE} SELECT iy, ix, CASE WHEN p_size > 10 THEN v ELSE -v END AS v FROM lattice WHERE p_size > 10 OR p_size % 2 = 0")
+def land_ocean_merge(spark, sf):
+    rows = lattice(spark, sf)
+    ocean = rows.where("p_size % 2 = 0").select("iy", "ix", (-F.col("v")).alias("v"))
+    return raster.merged_domains(rows.where("p_size > 10"), ocean, ["iy", "ix"], "v")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_retailprice + l_quantity AS raised FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def dynamic_surface(spark, sf):
+    part = table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey")
+    rows = raster.raised_by(part, table(spark, sf, "lineitem"), ["l_partkey"], "p_retailprice", "l_quantity", "raised")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "raised")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE year(o_orderdate) = 1997 AND month(o_orderdate) IN (6, 7, 8)")
+def winter_months(spark, sf):
+    return table(spark, sf, "orders").where(keys.in_months("o_orderdate", 1997, (6, 7, 8))).select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT p_size, p_brand FROM part")
+def feature_trimming(spark, sf):
+    return keys.trimmed(table(spark, sf, "part"), ["p_size", "missing", "p_brand", "p_size"])[0]
+
+
+@query("SELECT event_id, CAST(to_timestamp(epoch_ms(ts) // 1000) AT TIME ZONE 'UTC' AS DATE) AS day FROM events")
+def epoch_to_date(spark, sf):
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return table(spark, sf, "events").select("event_id", keys.from_epoch_ns(ns).alias("day"))

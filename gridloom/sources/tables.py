@@ -130,3 +130,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def partition_of(spark: SparkSession, path: str, column: str, value: str) -> DataFrame:
     """One hive partition, with its value as a literal column again."""
     return scan(spark, f"{path}/{column}={value}").withColumn(column, F.lit(value))
+
+
+def save_sample(df: DataFrame, path: str, rows: int, keys: list[str], seed: int = 42) -> None:
+    """About so many rows in one file, drawn by a hash of keys; a table of no more rows is saved whole."""
+    from gridloom.operators.sampling import sample
+
+    total = df.count()
+    out = df if total <= rows else sample(df, min(1.0, 1.2 * rows / total), keys, seed)
+    out.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def save_first(df: DataFrame, path: str, columns: list[str], order: list[str], n: int = 500) -> None:
+    """The first n rows in a total order, only the columns there are."""
+    df.orderBy(*order).limit(n).select(*(c for c in columns if c in df.columns)).write.mode("overwrite").parquet(path)
