@@ -121,8 +121,8 @@ def evaluated(df: DataFrame, label: str, name: str, split: str) -> DataFrame:
     areas = [None, None]
     if ends[0] != ends[1]:
         areas = [float(BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName=m).evaluate(df)) for m in ("areaUnderROC", "areaUnderPR")]
-    row = df.sparkSession.createDataFrame([(name, split, *areas)], "model string, split string, roc_auc double, pr_auc double")
-    return row.join(weighted_f1(df, "prediction", label))
+    rest = weighted_f1(df, "prediction", label).first()
+    return df.sparkSession.createDataFrame([(name, split, *areas, *rest)], "model string, split string, roc_auc double, pr_auc double, f1 double, weighted_precision double, weighted_recall double")
 
 
 def importances(model, names: Sequence[str], n: int = 10) -> list[tuple[str, float]]:

@@ -177,7 +177,7 @@ def nearest_point(queries: DataFrame, points: DataFrame, id_q: str, id_p: str, f
         left = q.withColumn("o", F.explode(around)).withColumns({k: cut(f"_{k}") + F.col(f"o.{n}") - 1 for k, n in zip("xyz", "abc", strict=True)})
         right = p.withColumns({k: cut(f"_{k}p") for k in "xyz"})
         chord = F.sqrt(sum(F.pow(F.col(f"_{k}") - F.col(f"_{k}p"), 2) for k in "xyz"))
-        best = left.join(right, ["x", "y", "z"]).groupBy("_q").agg(F.min(F.struct(chord.alias("chord"), F.col("_p").alias("p"))).alias("b"))
+        best = left.join(right, ["x", "y", "z"]).groupBy("_q").agg(F.min(F.struct(chord.alias("chord"), F.col("_p").alias("p"))).alias("b")).persist()
         done = best.where(F.col("b.chord") <= ring) if ring < 2 else best
         settled.append(done)
         if ring >= 2:

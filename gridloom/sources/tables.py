@@ -100,8 +100,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def save(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Zstandard Parquet; `by`: hive partitions, each written by few tasks."""
-    if by:
-        df = df.repartition(*by, F.pmod(F.xxhash64(*[c for c in df.columns if c not in by][:2] or by), F.lit(8))) if len(df.columns) > len(by) else df
+    rest = [c for c in df.columns if c not in (by or [])]
+    if by and rest:
+        df = df.repartition(*by, F.pmod(F.xxhash64(*rest[:2]), F.lit(8)))
     writer = df.write.mode(mode).option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
