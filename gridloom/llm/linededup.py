@@ -27,77 +27,110 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import SPACE, row_key, written
+from gridloom.llm.shared import written
 
 LEAST_WORDS, NEAR_WORDS = 5, 10
+#: Flags by a hash of the document that say whether it holds a line that emits variants.
+FLAGS = 1 << 20
 _LAST = 9223372036854775807
 
 
-def normal(line: Column) -> Column:
-    """The words of a line with single spaces."""
-    odd = line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
-    return F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+def normal(text: Column) -> Column:
+    """A text whose lines are words with single spaces; most texts are that already."""
+    text = F.coalesce(text, F.lit(""))
+    odd = text.rlike(r"[\x09\x0B-\x0D]|\x20[\x20\n]|\n\x20|^\x20|\x20$")
+    one = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r"\x20?\n\x20?", "\n")
+    return F.when(odd, F.trim(one)).otherwise(text)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows (key, at, line, n): at is the line's place (doc_id, number), line its words, n how many."""
-    rows = docs.select(
-        row_key(F.col("doc_id"), F.col("text")).alias("key"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"),
-        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("number", "raw"),
-    )
-    rows = rows.select("key", F.struct(F.col("d"), F.col("number")).alias("at"), normal(F.col("raw")).alias("line"))
-    n = F.when(F.col("line") == "", F.lit(0)).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    return rows.withColumn("n", n.cast("int")).where(F.col("n") >= LEAST_WORDS)
+    """Rows (d, t, number, line, n): t tells rows of one id apart, line is its words, n how many."""
+    rows = docs.select(place(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("number", "line"))
+    return rows.withColumn("n", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")).where(F.col("n") >= LEAST_WORDS)
 
 
-def _identity(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("2nd"), line).alias("b"))
+def place(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
 
 
-def _halves() -> Column:
+def _identity(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit("2nd"), line).alias("b")]
+
+
+def _halves() -> list[Column]:
     """Keys of the first and last half, for this many words and for one less, as the other line may have."""
     keys = []
     for less in (0, 1):
         m = F.col("n") - less
         h = F.floor(m / 2).cast("int")
-        first, last = F.call_function("substring_index", "line", F.lit(" "), h), F.call_function("substring_index", "line", F.lit(" "), h - m)
-        keys += [F.xxhash64(m, F.lit("first"), first), F.xxhash64(m, F.lit("last"), last)]
-    return F.array(*keys)
+        for name, k in (("first", h), ("last", h - m)):
+            key = F.xxhash64(m, F.lit(name), F.call_function("substring_index", "line", F.lit(" "), k))
+            keys.append(F.when(F.col("n") >= NEAR_WORDS, key).alias(f"h{len(keys)}"))
+    return keys
+
+
+def _flagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose d may be among the wanted: flags of a fixed number by a hash of d, so most others are never exploded or shuffled."""
+    k = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS)).cast("int")
+    each = wanted.select(k("d").alias("k")).distinct()
+    flags = bytearray(FLAGS // 8)
+    for r in each.groupBy(F.floor(F.col("k") / 8).alias("byte")).agg(F.sum(F.pow(F.lit(2), F.col("k") % 8).cast("int")).alias("bits")).toLocalIterator():
+        flags[r["byte"]] = r["bits"]
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(flags)), F.floor(k("d") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return rows.where(F.floor(byte / F.pow(F.lit(2), k("d") % 8)) % 2 == 1)
+
+
+def _variants(emitting: DataFrame) -> DataFrame:
+    """Rows (a, b, d, number, n, p, v): v is the hash of the words without the p-th; p = -1: of all words.
+
+    The hash of a sequence is the exclusive or of hashes of (word, place), so one running value
+    gives all variants of a line.
+    """
+    at = lambda less: F.transform("words", lambda w, k: F.xxhash64(w, k - less))
+    xor = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s.bitwiseXOR(y))
+    rows = emitting.select("a", "b", "d", "number", F.size("words").alias("n"), at(0).alias("here"), at(1).alias("before"))
+    rows = rows.withColumn("moved", F.zip_with("here", "before", lambda x, y: x.bitwiseXOR(y)))
+    running = F.aggregate("moved", F.array(F.lit(0).cast("long")), lambda s, y: F.concat(s, F.array(F.element_at(s, -1).bitwiseXOR(y))))
+    rows = rows.select("a", "b", "d", "number", "n", xor("here").alias("whole"), xor("before").alias("rest"), "before", running.alias("running"))
+    without = F.zip_with("before", F.slice("running", F.lit(1), F.col("n")), lambda x, y: x.bitwiseXOR(y))
+    each = F.explode(F.concat(F.array(F.struct((F.col("n") + 1).alias("n"), F.lit(-1).alias("p"), F.col("whole").alias("v"))), F.transform(without, lambda x, k: F.struct(F.col("n"), k.alias("p"), x.bitwiseXOR(F.col("rest")).alias("v")))))
+    return rows.select("a", "b", "d", "number", each.alias("x")).select("a", "b", "d", "number", "x.*")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """Rows (key, number) of the lines that go."""
+    """Rows (d, t, number) of the lines that go."""
     lines = lines_of(docs)
-    slim = lines.select("key", "at", _identity(F.col("line")).alias("id"), "n", F.when(F.col("n") >= NEAR_WORDS, _halves()).alias("halves"))
-    classes = slim.groupBy("id").agg(F.min("at").alias("at"), *(F.min(F.col("halves")[k]).alias(f"h{k}") for k in range(4)))
-    classes = written(classes)
-    near = classes.where(F.col("h0").isNotNull())
-    keys = near.select("id", "at", F.explode(F.array(*(F.col(f"h{k}") for k in range(4)))).alias("half"))
-    shared = keys.groupBy("half").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("half")
-    emitting = keys.join(shared, "half", "left_semi").select("id", "at").distinct()
-    words = lines.where(F.col("n") >= NEAR_WORDS).select("at", "line", _identity(F.col("line")).alias("own"))
-    emitting = words.join(emitting, "at").where(F.col("own") == F.col("id")).groupBy("id", "at").agg(F.first("line").alias("line"))
-    emitting = written(emitting.select("id", "at", F.split("line", " ").alias("words")))
-    n = F.size("words")
-    without = lambda w, p: F.concat(F.slice(w, F.lit(1), p), F.slice(w, p + 2, F.greatest(F.size(w) - p - 1, F.lit(0))))
-    variants = emitting.select("id", "at", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.xxhash64(without(F.col("words"), p)))).alias("p", "v"))
-    wholes = emitting.select("id", "at", (n + 1).alias("n"), F.lit(-1).alias("p"), F.xxhash64("words").alias("v"))
+    slim = written(lines.select("d", "t", "number", *_identity(F.col("line")), *_halves()))
+    halves = [f"h{k}" for k in range(4)]
+    at = F.struct("d", "number")
+    classes = slim.groupBy("a", "b").agg(F.min(at).alias("at"), *(F.min(h).alias(h) for h in halves))
+    classes = written(classes.select("a", "b", "at.*", *halves))
+    keys = classes.where("h0 is not null").select("a", "b", "d", "number", F.explode(F.array(*halves)).alias("half")).repartition("half")
+    shared = keys.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
+    chosen = written(keys.join(shared, "half", "left_semi").select("a", "b", "d", "number").distinct())
+    texts = lines_of(_flagged(docs.select("doc_id", "text").withColumn("d", place(F.col("doc_id"))), chosen)).where(F.col("n") >= NEAR_WORDS)
+    texts = texts.select("d", "number", "line", *_identity(F.col("line")))
+    emitting = texts.join(chosen, ["a", "b", "d", "number"]).groupBy("a", "b", "d", "number").agg(F.min("line").alias("line"))
+    emitting = written(emitting.select("a", "b", "d", "number", F.split("line", " ").alias("words")))
+    # variants met by another class
+    every = _variants(emitting).repartition("v")
+    met = every.groupBy("v").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("v")
+    every = written(every.join(met, "v", "left_semi").select("a", "b", at.alias("at"), "n", "p", "v"))
+    variants, wholes = every.where("p >= 0"), every.where("p < 0")
     # substitutions: the same place deleted, the rest equal
-    by_place = variants.groupBy("n", "p", "v").agg(F.min("at").alias("first")).join(variants, ["n", "p", "v"]).where("first < at").select("id", "at", "first", "p")
+    by_place = variants.groupBy("n", "p", "v").agg(F.min("at").alias("first")).join(variants, ["n", "p", "v"])
     # insertions: a variant equal to a whole line of one word less
-    longer = variants.groupBy("n", "v").agg(F.min("at").alias("first"), F.min("p").alias("p"))
-    met = wholes.join(longer.select("n", "v", F.col("first"), "p"), ["n", "v"])
-    shorter_goes = met.where("first < at").select("id", "at", "first", F.lit(-1).alias("p"))
-    longer_goes = variants.join(wholes.select("n", "v", F.col("at").alias("first")), ["n", "v"]).where("first < at").select("id", "at", "first", F.lit(-1).alias("p"))
-    found = reduce(DataFrame.unionByName, [by_place, shorter_goes, longer_goes]).groupBy("id", "at").agg(F.min(F.struct("first", "p")).alias("w"))
+    longer = variants.groupBy("n", "v").agg(F.min("at").alias("first")).join(wholes, ["n", "v"])
+    shorter = variants.join(wholes.select("n", "v", F.col("at").alias("first")), ["n", "v"])
+    found = [x.where("first < at").select("a", "b", "first") for x in (by_place, longer, shorter)]
+    found = reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.min("first").alias("first"))
     # word by word against the witness
-    texts = emitting.select(F.col("at").alias("w_at"), F.col("words").alias("other"))
-    pairs = found.join(emitting.select("id", "words"), "id").join(texts, F.col("w.first") == F.col("w_at"))
-    near_class = pairs.where(within_one(F.col("words"), F.col("other"))).select("id").distinct().withColumn("near", F.lit(True))
-    decided = classes.select("id", F.col("at").alias("first")).join(near_class, "id", "left")
-    out = slim.select("key", "at", "id").join(decided, "id").where(F.col("near").isNotNull() | (F.col("first") < F.col("at")))
-    return out.select("key", F.col("at.number").alias("number"))
+    other = emitting.select(F.col("d").alias("first_d"), F.col("number").alias("first_number"), F.col("words").alias("other"))
+    pairs = found.select("a", "b", F.col("first.d").alias("first_d"), F.col("first.number").alias("first_number")).join(emitting.select("a", "b", "words"), ["a", "b"]).join(other, ["first_d", "first_number"])
+    near = pairs.where(within_one(F.col("words"), F.col("other"))).select("a", "b").distinct().withColumn("near", F.lit(True))
+    decided = classes.select("a", "b", F.col("d").alias("first_d"), F.col("number").alias("first_number")).join(near, ["a", "b"], "left")
+    later = (F.col("d") > F.col("first_d")) | ((F.col("d") == F.col("first_d")) & (F.col("number") > F.col("first_number")))
+    return slim.select("d", "t", "number", "a", "b").join(decided, ["a", "b"]).where(F.col("near").isNotNull() | later).select("d", "t", "number")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -112,12 +145,18 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(gap > 1, F.lit(False)).when(first == 0, F.lit(True)).otherwise(rest_long == rest_short)
 
 
+def _gone(docs: DataFrame) -> DataFrame:
+    return removed_lines(docs).groupBy("d", "t").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+
+
+def _keyed(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    return docs.select(*columns, place(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("t"))
+
+
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document its lines, how many go, and their numbers (from 0) comma-joined."""
-    slim = docs.select("doc_id", "text")
-    gone = removed_lines(docs).groupBy("key").agg(F.array_sort(F.collect_set("number")).alias("gone"))
-    rows = slim.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    rows = rows.join(gone, "key", "left")
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
+    rows = _keyed(docs, "doc_id", n).join(_gone(docs), ["d", "t"], "left")
     return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
@@ -127,9 +166,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A document that loses every line that held a word goes; the others keep their place, and
     n_chars, where there is one, is the length of what is left.
     """
-    gone = removed_lines(docs).groupBy("key").agg(F.array_sort(F.collect_set("number")).alias("gone"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    rows = rows.join(gone, "key", "left")
+    rows = _keyed(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text").join(_gone(docs), ["d", "t"], "left")
     changed = F.col("gone").isNotNull()
     kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, k: ~F.array_contains(F.col("gone"), k))
     rows = rows.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
