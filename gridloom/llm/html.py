@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import slices
+from gridloom.llm.shared import first_by_hash, slices
 
 SAMPLE, SAMPLE_CHARS = 150, 60_000
 #: Tried weights of a tag and of a word in a link; a word outside links counts 1.
@@ -244,7 +244,7 @@ def fit(pages: list[str]) -> tuple[float, float]:
 def labelled_pages(pages: DataFrame) -> list[str]:
     """At most SAMPLE pages with an article element."""
     usable = pages.select("page_id", "html").where((F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
-    return [r["html"] for r in usable.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(SAMPLE).collect()]
+    return [r["html"] for r in first_by_hash(usable, "page_id", SAMPLE, 1.0, "html").collect()]
 
 
 def extract(pages: DataFrame, weights: tuple[float, float] | None = None) -> DataFrame:
