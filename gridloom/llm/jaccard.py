@@ -4,14 +4,16 @@ A text is the set of hashes of its five-word shingles; texts with the same set a
 node from the start. Two nodes of sizes m <= n can only reach the similarity if a shingle
 is among the first m - ceil(6m/7) + 1 of the smaller and the first n - ceil(3n/4) + 1 of
 the larger, in any order common to all: here rare before frequent (by a sketch of fixed
-size that counts hash cells over all texts), then by hash. Only those leading shingles are
-shuffled, packed as bytes, each task sending a node once. Inverted lists of up to
+size that counts hash cells over all texts), then by hash. Only those leading shingles and one
+in `EVIDENCE` more are shuffled, packed as bytes, each task sending a node once; with these,
+similar sets must share several, so a node with fewer shingles known to any other text is
+passed over (passages that texts share seldom get that far). Inverted lists of up to
 `SHORT_LIST` nodes give all their pairs; from longer ones every node is first paired with
 the smallest node of a fitting size, and once components are known, only nodes of
 different components are paired. So a group of thousands of copies costs its size, not its
 square, and no link between different components is lost.
 
-Candidates are searched by T-occurrence with DivideSkip: around one query set, the others'
+Candidates are first screened by sketches that bound the overlap from above, then searched by T-occurrence with DivideSkip: around one query set, the others'
 inverted lists; short lists are merged by a heap, candidates that still can reach the
 overlap are looked up in the long lists by binary search; what reaches it is counted
 exactly and must satisfy 100 * intersection >= 75 * union. Components are found by stars
@@ -46,9 +48,13 @@ MET, OF = 75, 100
 #: Cells of the sketch, in how many parts it is added up.
 CELLS, PARTS = 1 << 20, 16
 #: Longest inverted list all of whose pairs are tried at once.
-SHORT_LIST = 12
+SHORT_LIST = 4
+#: One shingle in so many is sent besides those that find a similar set.
+EVIDENCE = 16
 #: Shingles of candidates searched in one group, postings sent in one row.
-GROUP, SENT = 1 << 19, 1 << 20
+GROUP, SENT = 1 << 19, 1 << 18
+#: Bits of a document id's hash that say whether its text is wanted.
+FLAG_BITS = 23
 _NONE = -9223372036854775808
 
 
@@ -65,32 +71,83 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(44)).astype(np.int64)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many shingles fall in each of as many cells as there are shingles or more, up to 3, two bits a cell."""
+    cells = 1 << max(4, (len(tokens) - 1).bit_length())
+    counts = np.minimum(np.bincount((tokens >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 3).astype(np.uint8)
+    return (counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
+
+
+def _cells_of(packed: bytes) -> np.ndarray:
+    x = np.frombuffer(packed, np.uint8)
+    return np.stack([x & 3, x >> 2 & 3, x >> 4 & 3, x >> 6], axis=1).ravel()
+
+
+def may_be_similar(n: int, one: bytes, m: int, other: bytes) -> bool:
+    """Whether two sets' sketches leave room for the overlap: cells bound it from above, so no similar pair is lost."""
+    return bool(_room(np.array([0]), np.array([1]), np.array([n, m]), [one, other])[0])
+
+
+def _room(ia: np.ndarray, ib: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """The same for pairs (ia, ib) of sets with these sizes and sketches."""
+    keep = np.zeros(len(ia), bool)
+    if not len(ia):
+        return keep
+    width = np.array([4 * len(s) for s in sketches])
+    need = -(-MET * (n[ia] + n[ib]) // (MET + OF))
+    row = np.empty(len(sketches), np.int64)
+    matrix: dict[int, np.ndarray] = {}
+    beyond = np.empty(len(sketches), np.int64)  # shingles beyond 3 in a cell
+    for w in np.unique(width):
+        these = np.flatnonzero(width == w)
+        row[these] = np.arange(len(these))
+        matrix[int(w)] = np.stack([_cells_of(sketches[k]) for k in these])
+        beyond[these] = n[these] - matrix[int(w)].sum(axis=1, dtype=np.int64)
+    for wa, wb in {(int(x), int(y)) for x, y in zip(width[ia], width[ib], strict=True)}:
+        pairs = np.flatnonzero((width[ia] == wa) & (width[ib] == wb))
+        step = max(1, (1 << 22) // max(wa, wb))
+        for k in range(0, len(pairs), step):
+            at = pairs[k : k + step]
+            a, b = matrix[wa][row[ia[at]]], matrix[wb][row[ib[at]]]
+            while a.shape[1] != b.shape[1]:
+                a, b = (a[:, 0::2] + a[:, 1::2], b) if a.shape[1] > b.shape[1] else (a, b[:, 0::2] + b[:, 1::2])
+            x, y = beyond[ia[at]], beyond[ib[at]]
+            spare = np.minimum(x, y) if wa == wb else x + y
+            keep[at] = np.minimum(a, b).sum(axis=1, dtype=np.int64) + spare >= need[at]
+    return keep
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, node) of all documents, and the sketch's parts of each task (part, cells)."""
+    """Rows (doc_id, n, node, sketch) of all documents, and the cell counts' parts of each task (part, cells).
+
+    The set's sketch comes with the first document of a node in a task.
+    """
 
     def run(batches):
         seen: set[int] = set()
         cells = np.zeros(CELLS, np.uint32)
         for batch in slices(batches):
-            ns, nodes, fresh = [], [], []
+            ns, nodes, fresh, sketches = [], [], [], []
             for s in shingle_sets(batch.column("text"), WIDTH):
                 node = node_of(s)
                 ns.append(len(s))
                 nodes.append(node)
-                if node not in seen:
+                new = len(s) and node not in seen
+                sketches.append(sketch(s) if new else None)
+                if new:
                     seen.add(node)
                     fresh.append(_cell(s))
             if fresh:
                 cells += np.bincount(np.concatenate(fresh), minlength=CELLS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())], names=_SCAN)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())], names=_SCAN)
         if seen:
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(cells, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=_SCAN)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=_SCAN)
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, part int, cells binary"))
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary, part int, cells binary"))
 
 
-_SCAN = ["doc_id", "n", "node", "part", "cells"]
+_SCAN = ["doc_id", "n", "node", "sketch", "part", "cells"]
 
 
 def frequent_cells(scanned: DataFrame) -> np.ndarray:
@@ -116,10 +173,20 @@ def leading(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
     """The shingles by which a set is found, and how many of them count when it is the smaller one."""
     n = len(tokens)
     often = frequent[_cell(tokens)]
-    least = -(-MET * n // OF)
     both = -(-2 * MET * n // (MET + OF))
     order = np.concatenate([tokens[~often], tokens[often]])
-    return order[: n - least + 1], n - both + 1
+    return order[: int(sent_of(np.array([n]))[0])].copy(), n - both + 1
+
+
+def sent_of(n: np.ndarray) -> np.ndarray:
+    """How many shingles of a set of n are sent: what finds a similar set, and a few more as evidence."""
+    return np.minimum(n, n + (-MET * n) // OF + 1 + n // EVIDENCE)
+
+
+def shared_least(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many shingles two similar sets of n <= m surely share among those sent: what is not sent cannot make up for less."""
+    overlap = -(-MET * (n + m) // (MET + OF))
+    return np.maximum(1, overlap - np.maximum(n - sent_of(n), m - sent_of(m)))
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -163,16 +230,17 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, tokens binary, nodes binary, sizes binary")
 
 
-def _pairs(nodes: np.ndarray, sizes: np.ndarray, inner: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list that fit in size, the smaller's posting counting for it; `apart`: only of different values."""
+def _pairs(nodes, sizes, inner, known, apart=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list that fit in size, the smaller's posting counting for it, both with enough shingles
+    known to others for what they must share; `apart`: only of different values."""
     order = np.lexsort((nodes, sizes))
-    nodes, sizes, inner = nodes[order], sizes[order], inner[order]
+    nodes, sizes, inner, known = nodes[order], sizes[order], inner[order], known[order]
     apart = None if apart is None else apart[order]
     upto = np.searchsorted(sizes, sizes * OF // MET, "right")
     left, right = [], []
     for k in range(len(nodes) - 1):
         j = np.arange(k + 1, upto[k])
-        j = j[inner[k] | (inner[j] & (sizes[j] == sizes[k]))]
+        j = j[(inner[k] | (inner[j] & (sizes[j] == sizes[k]))) & (np.minimum(known[k], known[j]) >= shared_least(sizes[k], sizes[j]))]
         if apart is not None:
             j = j[apart[j] != apart[k]]
         if len(j):
@@ -182,21 +250,23 @@ def _pairs(nodes: np.ndarray, sizes: np.ndarray, inner: np.ndarray, apart: np.nd
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-def _leaders(nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _leaders(nodes, sizes, known) -> tuple[np.ndarray, np.ndarray]:
     """Each node with the first of its stretch of fitting sizes."""
     order = np.lexsort((nodes, sizes))
-    nodes, sizes = nodes[order], sizes[order]
+    nodes, sizes, known = nodes[order], sizes[order], known[order]
     left, right, k = [], [], 0
     while k < len(nodes):
         upto = int(np.searchsorted(sizes, sizes[k] * OF // MET, "right"))
-        left.append(np.full(upto - k - 1, nodes[k]))
-        right.append(nodes[k + 1 : upto])
+        j = np.arange(k + 1, upto)
+        j = j[np.minimum(known[k], known[j]) >= shared_least(sizes[k], sizes[j])]
+        left.append(np.full(len(j), nodes[k]))
+        right.append(nodes[j])
         k = upto
     return np.concatenate(left), np.concatenate(right)
 
 
-def first_candidates(sent: DataFrame) -> DataFrame:
-    """Rows (a, b) of first candidate pairs; and of long lists (token, node, size, inner), with b null."""
+def shared_postings(sent: DataFrame) -> DataFrame:
+    """Rows (token, node, size) of the postings that two nodes or more have in common."""
 
     def lists(table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
@@ -206,54 +276,131 @@ def first_candidates(sent: DataFrame) -> DataFrame:
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
         tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        last = np.concatenate([first[1:], [len(tokens)]])
-        a, b, long_lists = [], [], []
-        for x, y in zip(first[last - first > 1], last[last - first > 1], strict=True):
-            if y - x <= SHORT_LIST:
-                p = _pairs(nodes[x:y], sizes[x:y] >> 1, (sizes[x:y] & 1).astype(bool))
-            else:
-                p = _leaders(nodes[x:y], sizes[x:y] >> 1)
-                long_lists.append(np.arange(x, y))
-            a.append(p[0])
-            b.append(p[1])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-        at = np.concatenate(long_lists) if long_lists else np.zeros(0, np.int64)
-        n, m = pairs.shape[1], len(at)
-        values = lambda head, tail, kind: pa.chunked_array([head if isinstance(head, pa.Array) else pa.array(head, kind), tail if isinstance(tail, pa.Array) else pa.array(tail, kind)])
-        return pa.table({
-            "a": values(pairs[0], nodes[at], pa.int64()), "b": values(pairs[1], pa.nulls(m, pa.int64()), pa.int64()),
-            "token": values(pa.nulls(n, pa.int64()), tokens[at].view(np.int64), pa.int64()), "size": values(pa.nulls(n, pa.int64()), sizes[at], pa.int64()),
-        })
-
-    return written(sent.groupBy("bucket").applyInArrow(lists, "a long, b long, token long, size long"))
-
-
-def later_candidates(long_lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of long lists whose components differ."""
+        same = tokens[1:] == tokens[:-1]
+        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        return pa.table({"token": tokens[more].view(np.int64), "node": nodes[more], "size": sizes[more]})
+
+    return written(sent.groupBy("bucket").applyInArrow(lists, "token long, node long, size long"))
+
+
+def first_candidates(shared: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """Candidate pairs (a, b): all pairs of short inverted lists, and of longer ones each node with a leader."""
 
     def lists(table: pa.Table) -> pa.Table:
-        get = lambda c: table.column(c).to_numpy()
-        a, b = _pairs(get("a"), get("size") >> 1, (get("size") & 1).astype(bool), get("root"))
+        a, b = _per_list(table, lambda *x: _pairs(*x) if len(x[0]) <= SHORT_LIST else _leaders(x[0], x[1], x[3]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = long_lists.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return rows.join(mixed, "token").groupBy("token").applyInArrow(lists, "a long, b long").distinct()
+    rows = shared.join(known, "node").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInArrow(lists, "a long, b long").distinct()
+
+
+def later_candidates(shared: DataFrame, known: DataFrame, found: DataFrame, at: DataFrame, buckets: int) -> DataFrame:
+    """Candidate pairs of longer lists whose components (node, root) differ; a list within one component is done.
+
+    Lists of the same smallest node, such as those of one passage, meet in one bucket with the
+    sketches of their nodes, so a pair is made and screened once there and given only if it passes.
+    """
+    rows = shared.join(known, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k"), F.min("node").alias("leader"))
+    mixed = mixed.where((F.col("low") != F.col("high")) & (F.col("k") > SHORT_LIST)).select("token", F.pmod(F.xxhash64("leader"), F.lit(buckets)).alias("bucket"))
+    rows = written(rows.join(mixed, "token"))
+    sketches = rows.select(F.col("bucket").alias("there"), F.col("node").alias("of")).distinct().join(at.select(F.col("node").alias("of"), "n", "sketch"), "of")
+
+    def lists(table: pa.Table, of: pa.Table) -> pa.Table:
+        a, b = _per_list(table, _pairs) if table.num_rows else (np.zeros(0, np.int64),) * 2
+        nodes, ns = of.column("of").to_numpy(), of.column("n").to_numpy()
+        order = np.argsort(nodes)
+        ia, ib = (order[np.searchsorted(nodes[order], x)] for x in (a, b)) if len(nodes) else (a, b)
+        keep = _room(ia, ib, ns, of.column("sketch").to_pylist())
+        return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
+
+    return rows.groupBy("bucket").cogroup(sketches.groupBy("there")).applyInArrow(lists, "a long, b long").distinct()
+
+
+def _per_list(table: pa.Table, make) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs that `make` (of nodes, sizes, inner, known and, if there, root) gives of every inverted list."""
+    tokens = table.column("token").to_numpy()
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
+    size = table.column("size").to_numpy()[order]
+    columns = [table.column("node").to_numpy()[order], size >> 1, (size & 1).astype(bool), table.column("known").to_numpy()[order]]
+    if "root" in table.column_names:
+        columns.append(table.column("root").to_numpy()[order])
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    a, b, held = [], [], 0
+    for x, y in zip(first, [*first[1:], len(tokens)], strict=True):
+        p = make(*(c[x:y] for c in columns))
+        a.append(p[0])
+        b.append(p[1])
+        held += len(p[0])
+        if held > SENT:
+            a, b = _distinct(a, b)
+            held = 0
+    a, b = _distinct(a, b)
+    return a[0], b[0]
+
+
+def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    x, y = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return [x[new]], [y[new]]
+
+
+def places(scanned: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node, at, n, sketch) of the wanted nodes; at is the id of one document."""
+    known = scanned.where("sketch is not null").select("node", F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("at"), "n", "sketch").alias("x"))
+    return known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("x").alias("x")).select("node", "x.*")
+
+
+def screened(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave room for the overlap."""
+    of = lambda c: at.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def run(batches):
+        for batch in batches:
+            k = batch.num_rows
+            n = np.concatenate([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()])
+            keep = _room(np.arange(k), np.arange(k, 2 * k), n, batch.column("s_a").to_pylist() + batch.column("s_b").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long"))
+
 
+def texts_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (at, text) of documents whose id may be among the wanted: a bitmap of fixed size, so most others are never shuffled."""
+    place = lambda at: (mix(at.view(np.uint64)) >> np.uint64(64 - FLAG_BITS)).astype(np.int64)
 
-def sets_of(docs: DataFrame, scanned: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (node, n, tokens) of the wanted nodes, each from one of its documents."""
-    firsts = scanned.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("at"))
-    wanted = firsts.join(nodes, "node", "left_semi").select("at").distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("at"), "text").join(wanted, "at", "left_semi")
+    def flags(batches):
+        seen = np.zeros(1 << FLAG_BITS, bool)
+        for batch in batches:
+            seen[place(batch.column("at").to_numpy())] = True
+        yield _flags(np.packbits(seen))
+
+    def either(batches):
+        seen = np.zeros(1 << FLAG_BITS >> 3, np.uint8)
+        for batch in batches:
+            for part in batch.column("flags").to_pylist():
+                seen |= np.frombuffer(zlib.decompress(part), np.uint8)
+        yield _flags(seen)
+
+    each = wanted.select("at").distinct().mapInArrow(flags, "flags binary")
+    (row,) = each.repartition(8, "flags").mapInArrow(either, "flags binary").coalesce(1).mapInArrow(either, "flags binary").collect()
+    packed = row["flags"]
 
     def run(batches):
-        for batch in slices(batches):
-            found = [(node_of(s), len(s), s.tobytes()) for s in shingle_sets(batch.column("text"), WIDTH) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["node", "n", "tokens"])
+        seen = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(seen[place(batch.column("at").to_numpy())]))
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("at"), "text")
+    return rows.mapInArrow(run, "at long, text string")
+
 
-    return rows.select("text").mapInArrow(run, "node long, n long, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+def _flags(packed: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(packed.tobytes(), 1)], pa.binary())], names=["flags"])
 
 
 def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -298,13 +445,17 @@ def similar(query: np.ndarray, others: list[np.ndarray]) -> list[int]:
     return [k for k, c in divide_skip(lists, least).items() if OF * c >= MET * (n + len(others[k]) - c)]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A query set with many candidates is searched in several groups."""
-    sized = pairs.join(sets.select(F.col("node").alias("b"), "n"), "b")
+def verified(docs: DataFrame, pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: texts are sent to the groups they are searched in.
+
+    A query set with many candidates is searched in several groups.
+    """
+    of = lambda c: at.select(F.col("node").alias(c), "at", "n")
+    sized = pairs.join(of("b"), "b")
     load = sized.groupBy("a").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("groups"))
-    cand = sized.select("a", "b").join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("g"))
-    others = cand.join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("a", "g", "b", "tokens")
-    queries = load.join(sets.select(F.col("node").alias("a"), "tokens"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("b"), "tokens")
+    others = sized.join(load, "a").select("at", "a", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("g"), "b")
+    queries = load.join(of("a"), "a").select("at", "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("b"))
+    routes = written(queries.unionByName(others))
 
     def run(batches):
         key, query, ids, held = None, None, [], []
@@ -312,23 +463,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def close():
             return [(key[0], ids[k]) for k in similar(query, held)] if query is not None else []
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for a, g, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "b", "tokens")), strict=True):
+            for a, g, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "b")), shingle_sets(batch.column("text"), WIDTH), strict=True):
                 if (a, g) != key:
                     out += close()
                     key, query, ids, held = (a, g), None, [], []
+                if node_of(s) != (a if b is None else b):
+                    continue  # another text of the same id
                 if b is None:
-                    query = np.frombuffer(tokens, np.uint64)
+                    query = s
                 else:
                     ids.append(b)
-                    held.append(np.frombuffer(tokens, np.uint64))
+                    held.append(s)
             if out:
                 yield _edges(out)
         if out := close():
             yield _edges(out)
 
-    rows = queries.unionByName(others).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
+    rows = texts_at(docs, routes).join(routes, "at").select("a", "g", "b", "text")
+    rows = rows.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
     return written(rows.mapInArrow(run, "a long, b long"))
 
 
@@ -343,17 +497,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) >> 21)
-    first = first_candidates(postings(docs, frequent_cells(scanned), buckets))
-    pairs = first.where("b is not null").select("a", "b").distinct()
-    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    sets = written(sets_of(docs, scanned, nodes))
-    pairs = written(pairs)
-    links = verified(pairs, sets)
+    shared = shared_postings(postings(docs, frequent_cells(scanned), buckets))
+    known = written(shared.groupBy("node").agg(F.count(F.lit(1)).alias("known")))
+    at = written(places(scanned, known.select("node")))
+    pairs = written(first_candidates(shared, known, buckets))
+    links = verified(docs, screened(pairs, at), at)
     found = components(links)
-    long_lists = first.where("b is null").select("a", "token", "size")
-    more = written(later_candidates(long_lists, found).join(pairs, ["a", "b"], "left_anti"))
+    more = written(later_candidates(shared, known, found, at, buckets).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = links.unionByName(verified(more, sets))
+        links = links.unionByName(verified(docs, more, at))
         found = components(links)
     rows = scanned.where("node is not null").select("doc_id", "n", "node")
     rows = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -42,9 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage, outlives lost executors."""
+    """The rows as a Parquet table in the shared folder: cuts the lineage, outlives lost executors.
+
+    Lazy results may read it, so it stays; all tables of an application are in one folder of its name.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +73,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         step = max(1, int(batch.num_rows * most / size))
         for k in range(0, batch.num_rows, step):
             yield batch.slice(k, step)
+        del batch
+    pa.default_memory_pool().release_unused()  # an idle worker is not to hold what its last task needed
 
 
 def kept_in_worker(key: object, make):

@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes handled at once; longer texts are still handled whole.
-SLAB = 4 << 20
+SLAB = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,18 +59,24 @@ class Words:
         self.hash = self._hash(_LOWER[raw] if lower else raw) if hashed else None
 
     def _hash(self, raw: np.ndarray) -> np.ndarray:
-        if not len(raw):
-            return np.zeros(0, np.uint64)
+        """Polynomial hashes of all words, about SLAB bytes at a time, so memory does not grow with a text by much."""
+        out, k = np.empty(len(self.start), np.uint64), 0
         with np.errstate(over="ignore"):
-            power = np.full(len(raw) + 1, _BASE)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            back = np.full(len(raw) + 1, _INVERSE)
-            back[0] = 1
-            np.multiply.accumulate(back, out=back)
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-            return mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+            while k < len(out):
+                base = self.start[k]
+                m = max(k + 1, int(np.searchsorted(self.end, base + SLAB, "right")))
+                start, end = self.start[k:m] - base, self.end[k:m] - base
+                part = raw[base : base + end[-1]]
+                power = np.full(len(part) + 1, _BASE)
+                power[0] = 1
+                np.multiply.accumulate(power, out=power)
+                total = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+                power[1:] = _INVERSE
+                np.multiply.accumulate(power, out=power)
+                out[k:m] = mix((total[end] - total[start]) * power[start] + (end - start).astype(np.uint64))
+                k = m
+        return out
 
 
 def slabs(texts: pa.Array):

@@ -66,6 +66,21 @@ def test_divide_skip():
         assert jaccard.divide_skip(lists, least) == {x: c for x, c in counts.items() if c >= least}
 
 
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    kept = similar = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.3, 0.8, 0.95])], rng.integers(0, 1 << 63, int(rng.integers(1, 60)), dtype=np.uint64)]))
+        c = len(np.intersect1d(x, y))
+        near = 100 * c >= 75 * (len(x) + len(y) - c)
+        may = jaccard.may_be_similar(len(x), jaccard.sketch(x), len(y), jaccard.sketch(y))
+        assert may or not near
+        similar, kept = similar + near, kept + may
+    assert 0 < similar <= kept < 350
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
