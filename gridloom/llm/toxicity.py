@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import slices
+from gridloom.llm.shared import first_by_hash, slices
 
 #: Labelled rows that are learned from at most, and the longest text among them.
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
@@ -193,7 +193,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
     The chosen ids (SAMPLE at most) are the only thing that is broadcast.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    ids = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    ids = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = first_by_hash(ids, "doc_id", SAMPLE, 1.0)
     found = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
     rows = found.dropDuplicates(["doc_id"]).orderBy("doc_id").limit(SAMPLE).collect()
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
