@@ -36,7 +36,7 @@ END_ID = 2
 #: Costs in tokens: a cut at a sentence end, a cut elsewhere, a further sequence.
 SENTENCE_CUT, OTHER_CUT, SEQUENCE = 2, 6, 8
 #: Tokens planned at once; cuts elsewhere are tried every GAP tokens.
-BLOCK, GAP = 1 << 18, 16
+BLOCK, GAP = 1 << 18, 128
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -224,8 +224,11 @@ class Packer:
         self.parts, self.held = rest, len(ids) - begin
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """One row per piece of a document in a sequence of at most 4096 tokens."""
+def pack(docs: DataFrame, tokenizer_path: str | None = None, keep_words: bool = True) -> DataFrame:
+    """One row per piece of a document in a sequence of at most 4096 tokens.
+
+    keep_words: a worker's next task finds the learned words again, which takes some 200 MB while it is idle.
+    """
     content = tokenizer_json(tokenizer_path)
 
     def run(batches):
@@ -246,6 +249,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                 if len(rows) >= 10_000:
                     yield batch_of()
         rows.extend(packer.close())
+        if not keep_words:
+            words.known.clear()
         if rows:
             yield batch_of()
 
