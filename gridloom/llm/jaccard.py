@@ -251,15 +251,17 @@ def _pairs(nodes, sizes, inner, known, apart=None) -> tuple[np.ndarray, np.ndarr
 
 
 def _leaders(nodes, sizes, known) -> tuple[np.ndarray, np.ndarray]:
-    """Each node with the first of its stretch of fitting sizes."""
+    """In each stretch of fitting sizes every node with the one that shares the largest part of its shingles:
+    what others were copied from, if it is there, is nearer to all of them than they are to each other."""
     order = np.lexsort((nodes, sizes))
     nodes, sizes, known = nodes[order], sizes[order], known[order]
     left, right, k = [], [], 0
     while k < len(nodes):
         upto = int(np.searchsorted(sizes, sizes[k] * OF // MET, "right"))
-        j = np.arange(k + 1, upto)
-        j = j[np.minimum(known[k], known[j]) >= shared_least(sizes[k], sizes[j])]
-        left.append(np.full(len(j), nodes[k]))
+        best = k + int(np.argmax(known[k:upto] / sizes[k:upto]))
+        j = np.delete(np.arange(k, upto), best - k)
+        j = j[np.minimum(known[best], known[j]) >= shared_least(np.minimum(sizes[best], sizes[j]), np.maximum(sizes[best], sizes[j]))]
+        left.append(np.full(len(j), nodes[best]))
         right.append(nodes[j])
         k = upto
     return np.concatenate(left), np.concatenate(right)
