@@ -2,8 +2,8 @@
 
 Deletion-neighbourhood join. A line is its sequence of words. Equal lines first become one
 class, by hash. Two different lines are near if one word substituted, inserted or deleted
-makes them equal; lines of fewer than `NEAR_WORDS` words are compared for equality only,
-and lines of fewer than `LEAST_WORDS` are left alone. Every class emits the hash of each
+makes them equal; lines of fewer than `NEAR_WORDS` words are compared for equality only, since
+one word is a quarter or more of them (all lines of one word would be near). Every class emits the hash of each
 variant with one word deleted; variants equal at the same place (a substitution), or equal
 to a whole line (an insertion), meet in a group, whose earliest line is the witness against
 all later ones, so a group of any size gives one row a member. The witness is compared
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.shared import written
 
-LEAST_WORDS, NEAR_WORDS = 5, 10
+#: Fewest words of a line that is compared at all: lines that hold a word; of one that is compared for nearness.
+LEAST_WORDS, NEAR_WORDS = 1, 5
 #: Flags by a hash of the document that say whether it holds a line that emits variants.
 FLAGS = 1 << 20
 _LAST = 9223372036854775807
@@ -46,7 +47,8 @@ def normal(text: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """Rows (d, t, number, line, n): t tells rows of one id apart, line is its words, n how many."""
     rows = docs.select(place(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("number", "line"))
-    return rows.withColumn("n", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")).where(F.col("n") >= LEAST_WORDS)
+    n = F.when(F.col("line") != "", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).otherwise(F.lit(0))
+    return rows.withColumn("n", n.cast("int")).where(F.col("n") >= LEAST_WORDS)
 
 
 def place(doc_id: Column) -> Column:
