@@ -4,11 +4,12 @@ Base spans are emails, IP addresses, card and phone numbers by fixed patterns. T
 then asks which other words disclose a protected entity (a base value): over all documents,
 the pointwise mutual information of word and entity, PMI = log(N * both / (word * entity)),
 against the entity's own information, IC = log(N / entity). Counts are of documents; both
-counts those that hold the word within WINDOW characters of the entity, in at least
-CONTEXTS different contexts, so copies of one text are no evidence. From GENERALISE * IC on
-a word near the entity is generalised (its kind is written instead), from REMOVE * IC on it
-is removed. Style: DataFrame functions only; texts are never shuffled, only the words'
-counts and the surroundings of base spans are.
+counts those that hold the word anywhere beside the entity, in at least CONTEXTS different
+contexts (what surrounds the entity, and the words next to the word), so copies of one text
+are no evidence. In every text that holds the entity, each occurrence of the word is
+generalised (its kind is written instead) from GENERALISE * IC on and removed from
+REMOVE * IC on. Style: DataFrame functions only; of texts only those that hold a finding
+need be gathered, besides them only words, counts and base spans are.
 
 Edge cases: a null or empty text has no span (the digest is that of the empty string);
 texts are searched whole; rows with the same id and text share their added spans; a null
@@ -18,7 +19,7 @@ by `sanitised`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import row_key, written
@@ -31,12 +32,15 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 KINDS = [*PATTERNS, "term"]
-#: Characters looked at on either side of a base span; different contexts a finding needs.
+#: Characters on either side of a base span that tell its contexts apart; different contexts a finding needs.
 WINDOW, CONTEXTS = 48, 2
 #: Disclosure thresholds as multiples of the entity's information.
 GENERALISE, REMOVE = 0.7, 0.9
 #: Shortest word that can disclose.
 LEAST_LETTERS = 4
+#: Stands for each character of a base span, so that words keep their places; words that touch it are part of a span.
+MARK = "\ue000"
+LETTERS = r"\p{L}" + MARK
 
 
 def _accepted(kind: str, m: Column) -> Column:
@@ -77,60 +81,70 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _words_at(piece: Column, offset: Column) -> Column:
-    """The lower-cased words of letters in a piece of text, with their places in the text."""
-    pattern = r"\p{L}{%d,}" % LEAST_LETTERS
-    found, gaps = F.regexp_extract_all(piece, F.lit(pattern), F.lit(0)), F.split(piece, pattern, -1)
-    empty = F.array().cast("array<struct<word:string,start:int,end:int>>")
+def _masked(text: Column, spans: Column) -> Column:
+    """The text, as long as before, with MARK for each character of a span."""
+    plain = F.translate(text, MARK, " ")
     return F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")),
-        F.struct(offset.cast("int").alias("at"), empty.alias("out")),
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda s, x: F.struct(
-            (s["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct(F.lower(x["m"]).alias("word"), (s["at"] + F.length(x["g"])).alias("start"), (s["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end")))).alias("out"),
+            F.greatest(s["at"], x["end"]).alias("at"),
+            F.concat(s["out"], F.array(F.substring(plain, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.repeat(F.lit(MARK), F.greatest(x["end"] - F.greatest(s["at"], x["start"]), F.lit(0))))).alias("out"),
         ),
-        lambda s: s["out"],
+        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(plain, s["at"] + 1, F.length(text))),
     )
 
 
+def _found(text: Column, letters: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[%s]{%d,}" % (letters, LEAST_LETTERS)), F.lit(0))
+
+
+def _places(masked: DataFrame) -> DataFrame:
+    """Rows (key, word, start, end) of all words of the masked texts, one text a key."""
+    found = _found(F.col("masked"), LETTERS)
+    gaps = F.split("masked", r"[%s]{%d,}" % (LETTERS, LEAST_LETTERS), -1)
+    each = masked.select("key", F.posexplode(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))).alias("k", "x"))
+    each = each.select("key", "k", F.lower("x.m").alias("word"), F.length("x.m").alias("n"), F.length("x.g").alias("gap"))
+    end = F.sum(F.col("n") + F.col("gap")).over(Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return each.select("key", "word", (end - F.col("n")).alias("start"), end.alias("end"))
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """Rows (key, start, end, word, strength): words near an entity that reveal it, strength = PMI / IC."""
+    """Rows (key, start, end, word, strength): words of a text that reveal an entity it holds, strength = PMI / IC."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), text.alias("text"))
     near = rows.where(text.rlike("[0-9@]")).select("key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    near = near.select("key", "text", "spans", F.explode("spans").alias("s"))
-    left_at = F.greatest(F.col("s.start") - WINDOW, F.lit(0))
-    left = F.substring("text", left_at + 1, F.col("s.start") - left_at)
-    right = F.substring("text", F.col("s.end") + 1, F.lit(WINDOW))
-    # a word cut by the window's edge is left out, so are words of other base spans
-    cut = F.when(left_at > 0, F.length(F.regexp_extract(left, r"^\p{L}*", 0))).otherwise(F.lit(0))
-    left_words = _words_at(F.substring(left, cut + 1, F.length(left)), left_at + cut)
-    tail = F.when(F.length(right) == WINDOW, F.length(F.regexp_extract(right, r"\p{L}*$", 0))).otherwise(F.lit(0))
-    right_words = _words_at(F.substring(right, F.lit(1), F.length(right) - tail), F.col("s.end"))
-    around = near.select(
-        "key",
-        F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"),
-        F.xxhash64(left, right).alias("context"),
-        F.filter(F.concat(left_words, right_words), lambda w: ~F.exists("spans", lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"]))).alias("words"),
-    )
-    around = written(around)
-    n = F.lit(docs.count())
-    entities = around.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity >= 2")
-    pairs = around.select("key", "entity", "context", F.explode("words").alias("w")).select("key", "entity", "context", F.col("w.word").alias("word"))
-    pairs = pairs.join(entities, "entity")
-    # documents and contexts counted in two steps, so that no pair is gathered in one task
-    by_doc = pairs.select("entity", "word", "n_entity", "key").distinct().groupBy("entity", "word", "n_entity").agg(F.count(F.lit(1)).alias("both"))
-    by_context = pairs.select("entity", "word", "context").distinct().groupBy("entity", "word").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    candidates = written(by_doc.join(by_context, ["entity", "word"]))
-    held = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{%d,}" % LEAST_LETTERS), F.lit(0)))).alias("word"))
+    left_at = lambda s: F.greatest(s["start"] - WINDOW, F.lit(0))
+    around = lambda s: F.xxhash64(F.substring("text", left_at(s) + 1, s["start"] - left_at(s)), F.substring("text", s["end"] + 1, F.lit(WINDOW)))
+    entities = F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), around(s).alias("around")))
+    near = written(near.select("key", _masked(F.col("text"), F.col("spans")).alias("masked"), entities.alias("entities")))
+    n = docs.count()
+    held = near.select("key", F.explode("entities").alias("e")).groupBy("key", "e.entity").agg(F.min("e.around").alias("around"))
+    counted = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity").between(2, n - 1))
+    held = written(held.join(counted, "entity"))
+    most = held.agg(F.max("n_entity")).first()[0] or 1
+    # both <= n_entity, so a word of more documents than this cannot reach GENERALISE; one of a single document has one context
+    may = lambda n_entity: F.log(n / F.col("n_word")) >= GENERALISE * F.log(n / n_entity) - 1e-9
+    each = rows.select(F.explode(F.array_distinct(F.transform(_found(F.col("text"), r"\p{L}"), F.lower))).alias("word"))
     # counted before the join, so a frequent word is a row a task
-    df = held.groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
-    judged = candidates.join(df, "word")
+    df = each.groupBy("word").agg(F.count(F.lit(1)).alias("n_word")).where((F.col("n_word") >= CONTEXTS) & may(F.lit(most)))
+    words = near.select("key", F.transform(_found(F.col("masked"), LETTERS), F.lower).alias("w"))
+    none = F.array(F.lit(""))
+    beside = F.arrays_zip(F.col("w").alias("w"), F.concat(none, "w").alias("l"), F.concat(F.slice("w", F.lit(2), F.size("w")), none).alias("r"))
+    words = words.where(F.size("w") > 0).select("key", F.explode(beside).alias("x")).select("key", F.col("x.w").alias("word"), F.xxhash64("x.l", "x.r").alias("beside"))
+    words = words.where(F.col("word").isNotNull() & ~F.contains("word", F.lit(MARK)))
+    words = words.join(df, "word").groupBy("word", "n_word", "key").agg(F.min("beside").alias("beside"))
+    pairs = words.join(held, "key").where(may(F.col("n_entity")))
+    pairs = written(pairs.select("key", "entity", "word", "n_word", "n_entity", F.xxhash64("around", "beside").alias("context")))
+    # documents and contexts counted in two steps, so that no pair is gathered in one task
+    pair = ["entity", "word", "n_word", "n_entity"]
+    by_context = pairs.groupBy(*pair, "context").agg(F.count(F.lit(1)).alias("c"))
+    judged = by_context.groupBy(*pair).agg(F.sum("c").alias("both"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
     pmi = F.log(n * F.col("both") / (F.col("n_word") * F.col("n_entity")))
-    ic = F.log(n / F.col("n_entity"))
-    judged = judged.where(ic > 0).select("entity", "word", (pmi / ic).alias("strength")).where(F.col("strength") >= GENERALISE)
-    places = around.select("key", "entity", F.explode("words").alias("w")).select("key", "entity", F.col("w.word").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    return places.join(judged, ["entity", "word"]).groupBy("key", "start", "end").agg(F.max("strength").alias("strength"))
+    judged = judged.select("entity", "word", (pmi / F.log(n / F.col("n_entity"))).alias("strength")).where(F.col("strength") >= GENERALISE)
+    marked = written(pairs.select("key", "entity", "word").join(judged, ["entity", "word"]).groupBy("key", "word").agg(F.max("strength").alias("strength")))
+    texts = near.select("key", "masked").join(marked.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return _places(texts).join(marked, ["key", "word"])
 
 
 def _added(docs: DataFrame) -> DataFrame:

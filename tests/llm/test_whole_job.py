@@ -1,6 +1,6 @@
 """Cases that an operator once left out."""
 
-from gridloom.llm import linededup
+from gridloom.llm import linededup, pii
 
 
 def test_short_lines(spark):
@@ -13,3 +13,16 @@ def test_short_lines(spark):
     ]
     got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (4, ""), 2: (5, "0,3"), 3: (2, ""), 4: (3, "0,2"), 5: (3, "")}
+
+
+def test_terms_far_from_what_they_reveal(spark):
+    filler = lambda k: " ".join(f"a{'bcdefghij'[(k * 7 + i) % 9]}{'bcdefghij'[i % 9]}" for i in range(60))
+    rows = [(k, f"Zaphodia wrote {'xyz' * (k + 2)}\n{filler(k)}\nmail neo@matrix.org now\n{filler(k + 1)} zaphodia") for k in range(3)]
+    rows += [(10 + k, f"plain text of number {k} wrote mail") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data(docs).collect()}
+    for k, text in rows[:3]:
+        assert {"term:0:8", f"term:{len(text) - 8}:{len(text)}"} <= set(got[k])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert not any("zaphodia" in clean[k].lower() or "neo@" in clean[k] for k in range(3))
+    assert all(clean[k] == text for k, text in rows[3:])
