@@ -2,8 +2,8 @@
 
 A page is read as a sequence of words (positive) and tags (negative; words in links have a
 weight of their own). One linear scan finds the contiguous region of the highest score;
-the article is the innermost article-like element around it, or the region itself where a
-page has none. Elements that are never content (scripts, menus, forms, notices, comments)
+the article is that region and all of the outermost article-like element around most of it,
+or of the innermost other element little larger where a page has none. Elements that are never content (scripts, menus, forms, notices, comments)
 count as tags only. The weights are fitted on labelled pages: a bounded sample of pages
 (`SAMPLE` of at most `SAMPLE_CHARS` characters, in the order of a hash of their id) whose
 `<article>` or `<main>` marks the answer. Style: Arrow batches, no shuffle of pages.
@@ -195,15 +195,16 @@ def choose(page: Page, weights: tuple[float, float]) -> list[str]:
     a, b = best_region(page.runs, *weights)
     size = lambda k: page.runs[k][1] + page.runs[k][2]
     words = sum(size(k) for k in range(a, b))
-    for around, most in ((page.homes, np.inf), (page.boxes, 1.25 * words)):
+    for around, pick, most in ((page.homes, min, np.inf), (page.boxes, max, 1.25 * words)):
         held: dict[int, int] = {}
         for k in range(a, b):
             for n in around[k]:
                 held[n] = held.get(n, 0) + size(k)
         if close := [n for n, c in held.items() if c >= 0.8 * words]:
-            inner = [k for k, h in enumerate(around) if max(close) in h]
-            if sum(map(size, inner)) <= most:
-                return [page.texts[k] for k in inner]
+            home = pick(close)
+            held_by = [k for k, h in enumerate(around) if home in h]
+            if sum(map(size, held_by)) <= most:
+                return [page.texts[k] for k in sorted({*held_by, *range(a, b)})]
     return page.texts[a:b]
 
 

@@ -1,6 +1,6 @@
 """Cases that an operator once left out."""
 
-from gridloom.llm import linededup, pii
+from gridloom.llm import html, linededup, pii
 
 
 def test_short_lines(spark):
@@ -26,3 +26,19 @@ def test_terms_far_from_what_they_reveal(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
     assert not any("zaphodia" in clean[k].lower() or "neo@" in clean[k] for k in range(3))
     assert all(clean[k] == text for k, text in rows[3:])
+
+
+def test_page_with_an_article_in_an_article():
+    body = "".join(f"<p>Paragraph {k} of the body with a good many words in it.</p>" for k in range(9))
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>The lead.</p><div class='entry-content'>{body}</div><p>A correction.</p></article><footer>c</footer></body>"
+    for tag in html.TAG_WEIGHTS:
+        text = html.main_text(page, (tag, -1.0)).split("\n")
+        assert (text[:2], len(text), text[-1]) == (["Title", "The lead."], 12, "A correction.")
+
+
+def test_region_beyond_its_element():
+    body = "".join(f"<p>Paragraph {k} of the body with a good many words in it.</p>" for k in range(9))
+    page = "<body>{0}<p>A last section with quite a few words of its own.</p></body>"
+    for name in ("entry-content", "plain"):
+        text = html.main_text(page.format(f"<div class='{name}'>{body}</div>"), (-0.5, -1.0))
+        assert text.endswith("Paragraph 8 of the body with a good many words in it.\nA last section with quite a few words of its own.")
