@@ -78,7 +78,7 @@ def tile_canvas(spark, sf):
 
 @query("SELECT vec_id, coalesce(max(CASE WHEN e > 0 THEN k END), -1) AS deepest FROM (SELECT vec_id, unnest(embedding[1:8]) AS e, unnest(range(0, 8)) AS k FROM embeddings) GROUP BY 1")
 def deepest_valid_level(spark, sf):
-    levels = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("level", "e"))
+    levels = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("level", "e"))
     out = raster.deepest_level(levels.withColumn("e", F.when(F.col("e") > 0, F.col("e"))), ["vec_id"], "e")
     return out.withColumn("deepest", F.col("deepest").cast("long"))
 

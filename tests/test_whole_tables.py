@@ -15,3 +15,10 @@ def test_nearest_haversine_meets_every_customer(spark):
     want = dict(duckdb.sql(f"select q.k, min({metres}) from ({q}) q, ({p}) p group by 1").fetchall())
     got = {r["s_suppkey"]: r["distance"] for r in QUERIES["nearest_haversine"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=0.01)
+
+
+def test_deepest_valid_level_reads_whole_profiles(spark):
+    rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
+    want = {v: max((k for k, x in enumerate(e) if x is not None and x > 0), default=-1) for v, e in rows}
+    assert max(want.values()) > 7
+    assert {r["vec_id"]: r["deepest"] for r in QUERIES["deepest_valid_level"](spark, SF).collect()} == want
