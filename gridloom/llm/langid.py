@@ -2,12 +2,14 @@
 
 The network reads the bytes of a text in windows, labels every position, and the document
 gets the mean of the probabilities at its letters. It is trained here by backpropagation
-through time on a bounded sample (`SAMPLE` rows of at most `SAMPLE_CHARS` characters, in the
-order of a hash of their id). Style: Arrow batches, no shuffle; every byte of every text is
+through time on a bounded sample: of each language `SAMPLE` rows divided by the number of
+languages, in the order of a hash of id and text, and of a text longer than `SAMPLE_CHARS` as many
+characters, in pieces spread over all of it. At most `LANGUAGES` languages, the most frequent ones, are
+learned. Style: Arrow batches, no shuffle; every byte of every text is
 read, windows of many texts side by side.
 
 Edge cases: a null text or one without a letter is `und` with score 0, as is every text if
-no row can be learned from; a single language is predicted with score 1; repeated rows are
+no row can be learned from; a language whose texts are all empty is not learned; a single language is predicted with score 1; repeated rows are
 labelled one by one; a null doc_id is not held out and never learned from; further columns
 are ignored.
 """
@@ -15,19 +17,20 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import first_by_hash, slices
+from gridloom.llm.shared import slices, windows_of
 from gridloom.llm.toxicity import remainder
 from gridloom.llm.wordhash import buffer_of
 
 UNKNOWN = "und"
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+SAMPLE, SAMPLE_CHARS, LANGUAGES = 2000, 20_000, 200
 #: Units a direction, bytes a window, windows side by side.
 UNITS, SPAN, LANES = 12, 128, 1024
 STEPS, BATCH, RATE, SEED = 260, 256, 0.012, 7
@@ -129,6 +132,7 @@ class Network:
         if kept is None:
             f, b = self.ahead.sweep(x), self.behind.sweep(x[::-1])[::-1]
             scores = f @ self.weights[:UNITS] + b @ self.weights[UNITS:] + self.bias
+            scores -= scores.max(axis=2, keepdims=True)
             np.exp(scores, out=scores)
             return scores / scores.sum(axis=2, keepdims=True), f
         f = self.ahead.states(x, kept[0])
@@ -163,14 +167,14 @@ class Network:
 
 def train(texts: list[str], languages: list[str]) -> Network | None:
     """Fits the network by Adam on windows drawn from the texts, each language as often."""
+    texts, languages = zip(*((t, n) for t, n in zip(texts, languages, strict=True) if t), strict=True) if any(texts) else ((), ())
     names = sorted(set(languages))
+    if not names:
+        return None
     rng = np.random.default_rng(SEED)
     net = Network(names, Direction.fresh(rng), Direction.fresh(rng), (rng.standard_normal((2 * UNITS, len(names))) * 0.3).astype(np.float32), np.zeros(len(names), np.float32))
     raw = [t.encode() for t in texts]
-    by = [[k for k, name in enumerate(languages) if name == n and len(raw[k]) >= 8] for n in names]
-    if not names or not any(by):
-        return net if names else None
-    by = [b or [0] for b in by]
+    by = [[k for k, name in enumerate(languages) if name == n] for n in names]
     values = [net.ahead.rows, net.ahead.gates, net.ahead.cell, net.behind.rows, net.behind.gates, net.behind.cell, net.weights, net.bias]
     m, v = [np.zeros_like(p) for p in values], [np.zeros_like(p) for p in values]
     for step in range(1, STEPS + 1):
@@ -203,9 +207,25 @@ def train(texts: list[str], languages: list[str]) -> Network | None:
 
 
 def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most SAMPLE rows with a language that are not held out."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1) & (F.length("text") <= SAMPLE_CHARS))
-    rows = first_by_hash(usable.select("doc_id", "text", "lang"), "doc_id", SAMPLE, 1.0, "lang", "text").collect()
+    """At most about SAMPLE rows with a language that are not held out, as many of each language.
+
+    Their number by language is broadcast; only rows whose hash is small for their language are sorted.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1) & (F.col("text") != "")).select("doc_id", "text", "lang")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    each = max(1, SAMPLE // max(1, len(counts)))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    w = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
+    rows, share = [], {r["lang"]: 4 * each / r["n"] for r in counts}
+    while share:  # a language most of whose rows are alike may need more than its share
+        upto = F.broadcast(docs.sparkSession.createDataFrame([(k, int(min(1.0, v) * (1 << 40))) for k, v in share.items()], "lang string, upto long"))
+        some = usable.join(upto, "lang").withColumn("place", place).where("place < upto")
+        some = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).orderBy("lang", "k")
+        found = some.select("lang", windows_of(F.col("text"), SAMPLE_CHARS).alias("text")).collect()
+        got = Counter(r["lang"] for r in found)
+        enough = {r["lang"] for r in counts if r["lang"] in share and (share[r["lang"]] >= 1 or got[r["lang"]] >= min(each, r["n"]))}
+        rows += [r for r in found if r["lang"] in enough]
+        share = {k: 8 * v for k, v in share.items() if k not in enough}
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

@@ -7,11 +7,13 @@ in toxic texts, each weighted by its log odds; two-word phrases of clean texts t
 a lexicon word are exceptions, under which a match does not count. The score is a logistic
 function of the matched weight, plain and per word of the text. Style: Arrow batches for
 scoring, no shuffle of texts; the model is fitted on a bounded sample (`SAMPLE` labelled
-rows of at most `SAMPLE_CHARS` characters, in the order of a hash of their id).
+rows, in the order of a hash of their id; of a text longer than `SAMPLE_CHARS` as many
+characters, in pieces spread over all of it).
 
 Edge cases: a null, blank or very short text has a score like any other (no match gives
 the base score); no labelled row, or none of one kind, gives an empty lexicon and score 0;
-a document labelled both ways counts as toxic; repeated rows are scored one by one; a null
+a document labelled both ways counts as toxic; repeated rows are scored one by one, and of
+rows with one id but several texts the one of the smallest hash is learned from; a null
 doc_id is not held out and never learned from; further columns are ignored.
 """
 
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import first_by_hash, slices
+from gridloom.llm.shared import first_by_hash, slices, windows_of
 
-#: Labelled rows that are learned from at most, and the longest text among them.
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+#: Labelled rows that are learned from at most, and characters of each.
+SAMPLE, SAMPLE_CHARS = 6000, 30_000
 #: Texts that must hold a lexicon entry, and how many times likelier it must be in toxic ones.
 SUPPORT, RATIO = 5, 12.0
 #: Letters of a word's beginning that may be an entry.
@@ -61,7 +63,7 @@ def fold(text: str | None) -> str:
     text = text.lower()
     if not text.isascii():
         text = text.translate(_FOLD)
-    if any(c in text for c in "013457 8@$"):
+    if any(c in text for c in "0134578@$"):
         text = _MIXED.sub(_unmask, text)
     return " " + _GAPS.sub(" ", text).strip() + " "
 
@@ -194,9 +196,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     ids = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = first_by_hash(ids, "doc_id", SAMPLE, 1.0)
-    found = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
-    rows = found.dropDuplicates(["doc_id"]).orderBy("doc_id").limit(SAMPLE).collect()
+    ids = first_by_hash(ids, ["doc_id"], SAMPLE)
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("at"), windows_of(F.col("text"), SAMPLE_CHARS).alias("text"))).alias("x"))
+    rows = found.orderBy("doc_id").select("toxic", "x.text").limit(SAMPLE).collect()
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
 
 
