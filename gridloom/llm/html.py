@@ -1,12 +1,19 @@
 """Main text of web pages: maximum-scoring subsequence over words and tags.
 
-A page is read as a sequence of words (positive) and tags (negative; words in links have a
-weight of their own). One linear scan finds the contiguous region of the highest score;
-the article is that region and all of the outermost article-like element around most of it,
-or of the innermost other element little larger where a page has none. Elements that are never content (scripts, menus, forms, notices, comments)
-count as tags only. The weights are fitted on labelled pages: a bounded sample of pages
-(`SAMPLE` of at most `SAMPLE_CHARS` characters, in the order of a hash of their id) whose
-`<article>` or `<main>` marks the answer. Style: Arrow batches, no shuffle of pages.
+A page is read as a sequence of words and tags. Tags score negative, words positive, words in
+links by a weight of their own; the names (class, id) of the elements around a word are
+evidence for or against it, so words among adverts or comments score negative. One linear
+scan finds the contiguous region of the highest score; the main text is that region,
+completed to the article (or else main, or else the smallest box) element that holds all of
+it, without the words whose own score is not positive. Elements that HTML itself says are not the article
+(scripts, styles, menus, forms, footers, by tag or role, and hidden ones) count as tags only.
+
+All weights come from labelled pages, a bounded sample (`SAMPLE` pages, of each at most
+`SAMPLE_CHARS` characters around the mark, in the order of a hash) whose `<article>` or
+`<main>` marks the answer: the evidence of a name is its log odds of standing around words of
+the article, added to what is assumed before; the weights of tags and of words in links are
+those under which the scan's regions, without the evidence of the mark itself, agree best
+with the labels. Style: Arrow batches, no shuffle of pages; time is linear in a page, however deep it is nested.
 
 Edge cases: a null or empty page, and one without words, has an empty text; unclosed and
 stray tags are repaired as browsers do; pages of any length are read whole; repeated rows
@@ -17,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import html as references
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -27,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.shared import first_by_hash, slices
 
-SAMPLE, SAMPLE_CHARS = 150, 60_000
+SAMPLE, SAMPLE_CHARS = 150, 200_000
 #: Tried weights of a tag and of a word in a link; a word outside links counts 1.
 TAG_WEIGHTS, LINK_WEIGHTS = (-0.5, -1.0, -2.0, -4.0, -8.0), (1.0, 0.0, -1.0, -3.0)
 
@@ -39,15 +47,22 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSED_BY_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"}
 NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "fieldset", "canvas", "audio", "video"}
+BOXES = {"div", "section", "td", "center", "table", "blockquote", "article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "status"}
-#: Words of class and id names that mark what is not the article.
+#: Words of class and id names that mark what is not the article, and the evidence they are before anything is learned.
 NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "masthead", "footer", "comment", "comments", "disqus", "respond", "replies",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
-    "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "toolbar", "pagination", "pager", "copyright", "disclaimer", "paywall", "skip",
+    -8.0: {
+        "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion",
+        "sidebar", "navbar", "breadcrumb", "breadcrumbs", "masthead", "comment", "comments", "disqus", "respond", "replies",
+        "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
+        "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "paywall",
+    },
+    -4.0: {"banner", "menu", "nav", "navigation", "header", "footer", "notice", "notification", "alert", "widget", "toolbar", "copyright", "disclaimer", "skip"},
+    2.0: {"article", "articlebody", "post", "entry", "story", "content", "main", "maincontent"},
 }
-ARTICLE_NAMES = {"article", "articlebody", "post", "entry", "story", "content", "maincontent"}
+PRIOR = {word: weight for weight, words in NAMES.items() for word in words}
+#: Evidence is held between these; the article element is evidence as well.
+LEAST, MOST, ARTICLE = -8.0, 4.0, 2.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -56,71 +71,116 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass
+class Weights:
+    tag: float = -2.0
+    link: float = -1.0
+    names: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+    article: float = ARTICLE
+
+
 @dataclass
 class Page:
-    """Blocks in page order; `runs` alternates (tags, plain words, words in links) with one entry a block."""
+    """Blocks in page order, and the elements around them."""
 
     texts: list[str] = field(default_factory=list)
-    runs: list[tuple[int, int, int]] = field(default_factory=list)
-    homes: list[tuple[int, ...]] = field(default_factory=list)  # article-like elements around it, outermost first
-    boxes: list[tuple[int, ...]] = field(default_factory=list)  # other elements around it that hold blocks
-
-
-def _kind(name: str, attributes: str, inside: bool, by_names: bool) -> tuple[bool, bool]:
-    """Whether an element is never content, and whether it is article-like."""
-    if name in NEVER or name == "header" and not inside:
-        return True, False
-    if not attributes:
-        return False, name in ("article", "main")
-    found = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attributes)}
-    role = found.get("role", "").lower()
-    if name not in ("html", "body") and (_HIDDEN.search(attributes) or role in ROLES):
-        return True, False
-    drop = False
-    words = [[w.lower() for w in _PARTS.findall(x)] for k in ("class", "id") for x in found.get(k, "").split()]
-    if by_names and name not in ("html", "body", "main", "h1"):
-        drop = any(w and w[0] not in ("has", "with", "no", "without") and (w[0] in NAMES or w[-1] in NAMES) for w in words)
-        if name == "article":
-            drop = any({"comment", "comments"} & set(w) for w in words)
-        elif not inside:
-            drop |= any(w and "header" in (w[0], w[-1]) for w in words)
-    like = name in ("article", "main") or role in ("main", "article") or "articleBody" in found.get("itemprop", "") or any(w and (w[-1] in ARTICLE_NAMES or "".join(w) in ARTICLE_NAMES) for w in words)
-    return drop, like
-
-
-def parse(html: str | None, by_names: bool = True) -> Page:
-    """The blocks of a page without what is never content."""
-    page, html = Page(), html or ""
-    stack: list[tuple[str, int]] = []  # open elements; numbered if article-like, negatively if another box
+    #: For each block the tags, and the score of words that are left out, before it, and its plain and linked words' score.
+    runs: list[tuple[int, float, float, float]] = field(default_factory=list)
+    marked: list[bool] = field(default_factory=list)  # whether the block is in an article or main element
+    words: list[int] = field(default_factory=list)
+    around: list[tuple[int, int]] = field(default_factory=list)  # depth and number of the smallest element around it and the block before
+    home: list[tuple[int, int]] = field(default_factory=list)  # depth and number of the smallest element around it
+    spans: list[list[int]] = field(default_factory=list)  # by element: first block, and the one after its last
+    holders: list[list[int]] = field(default_factory=list)  # by element: the outermost article, the outermost main and the smallest box around it, or itself
+    tally: dict[str, list[int]] = field(default_factory=dict)  # by name: words in the article, other words
+
+
+def names_of(attributes: str) -> list[list[str]]:
+    """The words of each class and id name."""
+    found = [(k.lower(), v.strip("\"'")) for k, v in _NAMES.findall(attributes)]
+    words = [[w.lower() for w in _PARTS.findall(x)] for k, v in found if k in ("class", "id", "itemprop") for x in v.split()]
+    return [w for w in words if w and w[0] not in ("has", "with", "no", "without")]
+
+
+def evidence(names: list[list[str]], weights: dict[str, float]) -> float:
+    """What names say: the last word of each is what it is, the others say something of it."""
+    return sum(weights.get(w[-1], 0.0) + 0.5 * sum(weights.get(x, 0.0) for x in w[:-1]) for w in names)
+
+
+def _never(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether HTML itself says that an element is not the article."""
+    if name in NEVER or (name == "header" and not in_article):
+        return True
+    if not attributes or name in ("html", "body"):
+        return False
+    if _HIDDEN.search(attributes):
+        return True
+    return any(k.lower() == "role" and v.strip("\"'").lower() in ROLES for k, v in _NAMES.findall(attributes))
+
+
+def parse(html: str | None, weights: Weights | None = None) -> Page:
+    """The blocks of a page without what is never content or scores negative."""
+    page, html, weights = Page(), html or "", weights or Weights()
+    #: Open elements: name, number, evidence in all, whether in an article; names and words counted before them.
+    stack: list[tuple[str, int, float, bool, list[list[str]], int, int]] = []
     open_count: dict[str, int] = {}
-    dropped_at, link, number, tags = -1, False, 0, 0
+    dropped_at, link, tags, lowest, left_out = -1, False, 0, 0, 0.0
+    inside_words = outside_words = 0
     piece: list[str] = []
-    plain = linked = 0
+    plain = linked = 0.0
+    here = 0
 
     def flush() -> None:
-        nonlocal plain, linked, tags, piece
+        nonlocal plain, linked, tags, piece, lowest, left_out, here
         if piece:
             text = _SPACE.sub(" ", references.unescape("".join(piece))).strip()
             if text:
+                page.around.append((lowest, stack[lowest - 1][1] if lowest else -1))
+                page.home.append((len(stack), stack[-1][1] if stack else -1))
                 page.texts.append(text)
-                page.runs.append((tags, plain, linked))
-                page.homes.append(tuple(n for _, n in stack if n > 0))
-                page.boxes.append(tuple(-n for _, n in stack if n < 0))
-                tags = 0
-        piece, plain, linked = [], 0, 0
-
-    at, end = 0, len(html)
+                page.runs.append((tags, left_out, plain, linked))
+                page.marked.append(bool(stack) and stack[-1][3])
+                page.words.append(here)
+                tags, left_out, lowest = 0, 0.0, len(stack)
+        piece, plain, linked, here = [], 0.0, 0.0, 0
+
+    def pop() -> str:
+        nonlocal dropped_at, lowest
+        name, number, _, _, names, was_inside, was_outside = stack.pop()
+        open_count[name] -= 1
+        page.spans[number][1] = len(page.texts)
+        lowest = min(lowest, len(stack))
+        for word in {x for w in names for x in w}:
+            counts = page.tally.setdefault(word, [0, 0])
+            counts[0] += inside_words - was_inside
+            counts[1] += outside_words - was_outside
+        if len(stack) <= dropped_at:
+            dropped_at = -1
+        return name
+
+    at, end, last = 0, len(html), html.rfind(">")
     while at < end:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        m = _TOKEN.match(html, at) if at <= last else None
+        text = m[0] if m else html[at:]
+        at = m.end() if m else end
+        name = (m[2] or m[5] or "").lower() if m else ""
         if not name:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                if dropped_at < 0:
+            if not m or text[0] != "<" or text == "<":
+                if dropped_at < 0 and (n := len(text.split())):
+                    value = 1 + (min(MOST, max(LEAST, stack[-1][2])) if stack else 0.0)
+                    if stack and stack[-1][3]:
+                        inside_words += n
+                    else:
+                        outside_words += n
+                    if value <= 0:
+                        left_out += n * value
+                        piece.append(" ")
+                    else:
+                        piece.append(text)
+                        here += n
+                        plain, linked = (plain, linked + n * value) if link else (plain + n * value, linked)
+                elif dropped_at < 0:
                     piece.append(text)
-                    n = len(text.split())
-                    plain, linked = (plain, linked + n) if link else (plain + n, linked)
             continue
         tags += 1
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
@@ -137,51 +197,57 @@ def parse(html: str | None, by_names: bool = True) -> Page:
             if name == "br" and dropped_at < 0:
                 piece.append(" ")
             continue
-        if name != "span" and dropped_at < 0:
-            flush()
         if name != "span":
+            if dropped_at < 0:
+                flush()
             link = False
         if closing:
             if open_count.get(name):
-                while True:
-                    gone, _ = stack.pop()
-                    open_count[gone] -= 1
-                    if gone == name:
-                        break
-                if len(stack) <= dropped_at:
-                    dropped_at = -1
+                while pop() != name:
+                    pass
             continue
         if name in VOID:
             continue
         if stack and stack[-1][0] in CLOSED_BY_NEXT and name != "span":  # an open p ends at any block, others at their like
-            last = stack[-1][0]
-            if last == "p" or last == name or (last in ("dt", "dd") and name in ("dt", "dd")) or (last in ("td", "th") and name in ("td", "th", "tr")):
-                stack.pop()
-                open_count[last] -= 1
-                if len(stack) <= dropped_at:
-                    dropped_at = -1
+            before = stack[-1][0]
+            if before == "p" or before == name or (before in ("dt", "dd") and name in ("dt", "dd")) or (before in ("td", "th") and name in ("td", "th", "tr")):
+                pop()
         if attributes.endswith("/") and name not in ("article", "main", "div", "p", "section"):
             continue
-        inside = any(n > 0 for _, n in stack)
-        drop, like = (False, False) if dropped_at >= 0 else _kind(name, attributes, inside, by_names)
-        box = name in ("div", "section", "td", "center", "table")
-        number += like or box
-        if drop:
-            if name == "span":
-                piece.append(" ")
-            dropped_at = len(stack)
-        stack.append((name, number if like else -number if box else 0))
+        said, inside = (stack[-1][2], stack[-1][3]) if stack else (0.0, False)
+        names: list[list[str]] = []
+        if dropped_at < 0:
+            if _never(name, attributes, inside):
+                if name == "span":
+                    piece.append(" ")
+                dropped_at = len(stack)
+            elif name not in ("html", "body"):
+                names = names_of(attributes) if attributes else []
+                said += evidence(names, weights.names) if names else 0.0
+                if name in ("article", "main"):
+                    said, inside = said + weights.article, True
+        stack.append((name, len(page.spans), said, inside, names, inside_words, outside_words))
+        number = len(page.spans)
+        holders = list(page.holders[stack[-2][1]]) if len(stack) > 1 else [-1, -1, -1]
+        if name in ("article", "main") and holders[name == "main"] < 0:
+            holders[name == "main"] = number
+        if name in BOXES:
+            holders[2] = number
+        page.holders.append(holders)
+        page.spans.append([len(page.texts), len(page.texts)])
         open_count[name] = open_count.get(name, 0) + 1
     if dropped_at < 0:
         flush()
+    while stack:
+        pop()
     return page
 
 
-def best_region(runs: list[tuple[int, int, int]], tag: float, link: float) -> tuple[int, int]:
-    """First and last block (exclusive) of the highest-scoring subsequence; tags between two blocks lie before the second."""
+def best_region(runs: list[tuple[int, float, float, float]], tag: float, link: float) -> tuple[int, int]:
+    """First and last block (exclusive) of the highest-scoring subsequence; tags and left out words between two blocks lie before the second."""
     best, span, total, begin = 0.0, (0, 0), 0.0, 0
-    for k, (tags, plain, linked) in enumerate(runs):
-        total += tag * tags
+    for k, (tags, left_out, plain, linked) in enumerate(runs):
+        total += tag * tags + left_out
         if total <= 0:
             total, begin = 0.0, k
         total += plain + link * linked
@@ -190,65 +256,54 @@ def best_region(runs: list[tuple[int, int, int]], tag: float, link: float) -> tu
     return span
 
 
-def choose(page: Page, weights: tuple[float, float]) -> list[str]:
-    """The blocks of the main text."""
-    a, b = best_region(page.runs, *weights)
-    size = lambda k: page.runs[k][1] + page.runs[k][2]
-    words = sum(size(k) for k in range(a, b))
-    for around, pick, most in ((page.homes, min, np.inf), (page.boxes, max, 1.25 * words)):
-        held: dict[int, int] = {}
-        for k in range(a, b):
-            for n in around[k]:
-                held[n] = held.get(n, 0) + size(k)
-        if close := [n for n, c in held.items() if c >= 0.8 * words]:
-            home = pick(close)
-            held_by = [k for k, h in enumerate(around) if home in h]
-            if sum(map(size, held_by)) <= most:
-                return [page.texts[k] for k in sorted({*held_by, *range(a, b)})]
-    return page.texts[a:b]
-
-
-def main_text(html: str | None, weights: tuple[float, float]) -> str:
-    page = parse(html)
-    chosen = choose(page, weights)
-    whole = parse(html, by_names=False)
-    if len(page.texts) < len(whole.texts):
-        every = choose(whole, weights)
-        if sum(map(len, chosen)) < 0.1 * sum(map(len, every)):  # a name around the whole page misled
-            chosen = every
-    return "\n".join(chosen)
-
-
-def fit(pages: list[str]) -> tuple[float, float]:
-    """The weights of a tag and of a word in a link whose region agrees best with the labelled articles."""
-    parsed = []
+def main_text(html: str | None, weights: Weights | None = None) -> str:
+    """The best region, completed to the element that holds it."""
+    weights = weights or Weights()
+    page = parse(html, weights)
+    a, b = best_region(page.runs, weights.tag, weights.link)
+    if a < b:
+        _, around = min([page.home[a], *page.around[a + 1 : b]])
+        if around >= 0 and (whole := next((h for h in page.holders[around] if h >= 0), -1)) >= 0:
+            a, b = page.spans[whole]
+    return "\n".join(page.texts[a:b])
+
+
+def fit(pages: list[str]) -> Weights:
+    """The weights from labelled pages."""
+    tally: dict[str, list[int]] = {}
     for html in pages:
-        page = parse(html, by_names=False)
-        first = min((h[0] for h in page.homes if h), default=0)
-        truth = np.array([bool(h) and h[0] == first for h in page.homes])
-        if truth.any():
-            parsed.append((page, truth, np.array([p + q for _, p, q in page.runs])))
-    best, chosen = -1.0, (-2.0, -1.0)
+        for word, (inside, outside) in parse(html).tally.items():
+            counts = tally.setdefault(word, [0, 0])
+            counts[0] += inside
+            counts[1] += outside
+    odds = {w: math.log((i + 5) / (o + 5)) for w, (i, o) in tally.items()}
+    names = {w: min(MOST, max(LEAST, PRIOR.get(w, 0.0) + odds.get(w, 0.0))) for w in {*PRIOR, *odds}}
+    parsed = [page for html in pages if any((page := parse(html, Weights(names=names, article=0.0))).marked)]
+    best, chosen = -1.0, Weights(names=names)
     for tag in TAG_WEIGHTS:
         for link in LINK_WEIGHTS:
             agree = 0.0
-            for page, truth, words in parsed:
+            for page in parsed:
                 a, b = best_region(page.runs, tag, link)
+                truth, words = np.array(page.marked), np.array(page.words)
                 got = np.zeros(len(truth), bool)
                 got[a:b] = True
                 agree += 2 * (words * (got & truth)).sum() / max(1, (words * got).sum() + (words * truth).sum())
             if agree > best + 1e-9:
-                best, chosen = agree, (tag, link)
-    return chosen if parsed else (-2.0, -1.0)
+                best, chosen = agree, Weights(tag, link, names)
+    return chosen
 
 
 def labelled_pages(pages: DataFrame) -> list[str]:
-    """At most SAMPLE pages with an article element."""
-    usable = pages.select("page_id", "html").where((F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
-    return [r["html"] for r in first_by_hash(usable, "page_id", SAMPLE, 1.0, "html").collect()]
+    """At most SAMPLE pages with an article element, of longer ones what is around its beginning."""
+    usable = pages.select("page_id", "html").where(F.lower("html").rlike("<(article|main)[ >]"))
+    mark = F.regexp_instr(F.lower("html"), F.lit("<(article|main)[ >]"))
+    part = F.substring("html", F.greatest(mark - SAMPLE_CHARS // 4, F.lit(1)), F.lit(SAMPLE_CHARS))
+    rows = first_by_hash(usable, ["page_id", "html"], SAMPLE).select(F.when(F.length("html") <= SAMPLE_CHARS, F.col("html")).otherwise(part).alias("html"))
+    return [r["html"] for r in rows.collect()]
 
 
-def extract(pages: DataFrame, weights: tuple[float, float] | None = None) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """One row per page with its main text."""
     weights = weights or fit(labelled_pages(pages))
 
