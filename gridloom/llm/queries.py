@@ -128,14 +128,14 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN
     "op4_line_dedup": f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, k, {_WORDS.format("ls[k + 1]")} AS w FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS k FROM docs)),
-long AS (SELECT doc_id, k, w, len(w) AS n, (doc_id, k) AS pos FROM lines WHERE len(w) >= 5),
+long AS (SELECT doc_id, k, w, len(w) AS n, (doc_id, k) AS pos FROM lines WHERE len(w) >= 1),
 classes AS (SELECT w, n, min(pos) AS pos FROM long GROUP BY w, n),
-variants AS (SELECT pos, n, p, w[1:p] || w[p + 2:n] AS v FROM (SELECT pos, n, w, unnest(range(0, n)) AS p FROM classes WHERE n >= 10)),
+variants AS (SELECT pos, n, p, w[1:p] || w[p + 2:n] AS v FROM (SELECT pos, n, w, unnest(range(0, n)) AS p FROM classes WHERE 0.25 * n >= 1)),
 by_place AS (SELECT n, p, v, min(pos) AS low FROM variants GROUP BY n, p, v),
 near AS (
   SELECT a.pos FROM variants a JOIN by_place b USING (n, p, v) WHERE b.low < a.pos
-  UNION SELECT c.pos FROM classes c JOIN variants a ON a.v = c.w WHERE c.n >= 10 AND a.pos < c.pos
-  UNION SELECT a.pos FROM classes c JOIN variants a ON a.v = c.w WHERE c.n >= 10 AND c.pos < a.pos
+  UNION SELECT c.pos FROM classes c JOIN variants a ON a.v = c.w WHERE a.pos < c.pos
+  UNION SELECT a.pos FROM classes c JOIN variants a ON a.v = c.w WHERE c.pos < a.pos
 ),
 gone AS (SELECT l.doc_id, list(DISTINCT l.k ORDER BY l.k) AS gone FROM long l JOIN classes c USING (w, n) WHERE c.pos < l.pos OR c.pos IN (SELECT pos FROM near) GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed FROM docs d LEFT JOIN gone USING (doc_id)
