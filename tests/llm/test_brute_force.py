@@ -5,12 +5,14 @@ import hashlib
 import html as references
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm import html, jaccard, langid, linededup, packing, pii, quality, topk, toxicity
+from gridloom.llm import html, jaccard, langid, linededup, packing, pii, quality, shared, topk, toxicity
 from gridloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,7 +100,7 @@ def luhn(digits):
 
 def base_spans(text):
     out = []
-    for kind, (pattern, _) in pii.PATTERNS.items():
+    for kind, pattern in pii.PATTERNS.items():
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
             if {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda: 16 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 8 <= len(digits) <= 15}[kind]():  # noqa: B023
@@ -125,7 +127,7 @@ def test_line_edits(spark):
     for d in range(60):
         lines = []
         for _ in range(rng.randint(1, 5)):
-            n = rng.choice([3, 5, 6, 9, 10, 11, 12])
+            n = rng.choice([1, 2, 3, 4, 5, 6, 9, 10, 11, 12])
             w = ["abcde"[(i * i + n // 4) % 5] for i in range(n)]
             for _ in range(rng.randint(0, 2)):
                 w[rng.randrange(len(w))] = rng.choice("abcdex")
@@ -135,14 +137,14 @@ def test_line_edits(spark):
         rows.append((d, "\n".join(lines)))
 
     def near(a, b):
-        if a == b or min(len(a), len(b)) < linededup.NEAR_WORDS or abs(len(a) - len(b)) > 1:
+        if a == b or 0.25 * max(len(a), len(b)) < 1 or abs(len(a) - len(b)) > 1:
             return a == b
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
         a, b = (a, b) if len(a) > len(b) else (b, a)
         return any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
-    lines = [(d, k, tuple(line.split())) for d, t in rows for k, line in enumerate(t.split("\n")) if len(line.split()) >= linededup.LEAST_WORDS]
+    lines = [(d, k, tuple(line.split())) for d, t in rows for k, line in enumerate(t.split("\n")) if line.split()]
     gone = {(d, k) for d, k, w in lines if any((e, m) < (d, k) and near(w, v) for e, m, v in lines)}
     got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], int(k)) for r in got for k in r["removed"].split(",") if k} == gone
@@ -152,6 +154,27 @@ def test_line_edits(spark):
         assert kept.get(d, "") == left
 
 
+def test_long_near_lines(spark):
+    words = [f"w{i * i % 997}" for i in range(60_000)]
+    changed = [*words[:31_000], "other", *words[31_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join([*changed[:50_000], "more", *changed[50_000:]])), (4, " ".join(words[2:]))]
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_lines_of_repeated_ids(spark):
+    rows = [(1, "the same line\nof two texts"), (1, "other words\nthe same line"), (2, "the same line")]
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 32, 33, 64, 1024, 1025, 3000])
+def test_running(spark, n):
+    values = np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n)
+    (row,) = spark.createDataFrame([(values.tolist(),)], "x array<long>").select(shared.running(F.col("x"), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias("r")).collect()
+    assert row["r"] == [0, *np.bitwise_xor.accumulate(values)[:-1].tolist()][:n]
+
+
 def test_quality_figures(spark, documents):
     texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
     for r in quality.quality(documents).collect():
@@ -252,7 +275,42 @@ def test_page_without_article():
     page = """<body class="has-sidebar"><div id="wrap"><header><h1>Site</h1></header><div class="menu"><a href=x>Home</a></div><div class="main"><h2>Title</h2>
     <p>First paragraph with a good many words in it, quite enough to be sure.<div class="advert-box">Buy now</div><p>Second &eacute; paragraph with many more words of text.</p>
     <aside>Side</aside><p>Third.</p></div><div class="comments"><p>Great post I like it very much indeed.</p></div><section id="cookie-notice">Cookies</section><form><p>Mail</p></form><footer>c</footer></div>"""
-    assert html.main_text(page, (-1.0, -1.0)) == "Title\nFirst paragraph with a good many words in it, quite enough to be sure.\nSecond é paragraph with many more words of text.\nThird."
+    assert html.main_text(page, html.Weights(-1.0, -1.0)) == "Title\nFirst paragraph with a good many words in it, quite enough to be sure.\nSecond é paragraph with many more words of text.\nThird."
+
+
+def test_best_region_against_all_intervals():
+    rng = random.Random(4)
+    for _ in range(300):
+        runs = [(rng.randrange(6), -rng.randrange(4), rng.randrange(12), rng.randrange(5)) for _ in range(rng.randrange(1, 12))]
+        tag, link = rng.choice([-0.5, -1.0, -4.0]), rng.choice([1.0, -1.0, -3.0])
+
+        def score(a, b):
+            return sum(p + link * q for _, _, p, q in runs[a:b]) + sum(tag * t + left for t, left, _, _ in runs[a + 1 : b])  # noqa: B023
+
+        best = max((score(a, b) for a in range(len(runs)) for b in range(a + 1, len(runs) + 1)), default=0)
+        a, b = html.best_region(runs, tag, link)
+        assert (score(a, b) if a < b else 0) == pytest.approx(max(best, 0))
+
+
+def test_names_are_evidence_not_a_list():
+    page = "<body><nav>x</nav><article><h1>Title</h1><p>Some words of an article.</p><section class='menu-history'><p>How menus came about.</p></section><div class='ad'>Buy this now</div><ul class='comment-list'><li>Nice one</li></ul><p>End.</p></article></body>"
+    assert html.main_text(page) == "Title\nSome words of an article.\nHow menus came about.\nEnd."
+
+
+def test_names_are_learned():
+    page = lambda k: f"<body><div class='zork'><p>Words beside it number {k} and more</p></div><article><p>Some words of article {k} and a few others.</p><div class='zork'>odd {k}</div></article></body>"
+    weights = html.fit([page(k) for k in range(30)])
+    assert weights.names["zork"] < -1
+    assert html.main_text("<body><div><p>All of the words here.</p><div class='zork'>Left out words are here.</div><p>And those.</p></div></body>", html.Weights(-0.5, -1.0, weights.names | {"zork": -8.0})) == "All of the words here.\nAnd those."
+
+
+def test_odd_pages_take_linear_time():
+    began = time.perf_counter()
+    deep = "<div>word " * 60_000
+    assert html.main_text(deep + "</div>" * 60_000, html.Weights(-0.1)).count("word") == 60_000
+    assert html.main_text('<a "' * 100_000) is not None
+    assert html.main_text("<p>" + '<a "' * 100_000 + ">") is not None
+    assert time.perf_counter() - began < 20
 
 
 def test_fold():

@@ -12,7 +12,7 @@ def test_short_lines(spark):
         (5, "\n \n"),
     ]
     got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (4, ""), 2: (5, "0,3"), 3: (2, ""), 4: (3, "0,2"), 5: (3, "")}
+    assert got == {1: (4, ""), 2: (5, "0,3"), 3: (2, ""), 4: (3, "0,1,2"), 5: (3, "")}
 
 
 def test_terms_far_from_what_they_reveal(spark):
@@ -32,7 +32,7 @@ def test_page_with_an_article_in_an_article():
     body = "".join(f"<p>Paragraph {k} of the body with a good many words in it.</p>" for k in range(9))
     page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>The lead.</p><div class='entry-content'>{body}</div><p>A correction.</p></article><footer>c</footer></body>"
     for tag in html.TAG_WEIGHTS:
-        text = html.main_text(page, (tag, -1.0)).split("\n")
+        text = html.main_text(page, html.Weights(tag, -1.0)).split("\n")
         assert (text[:2], len(text), text[-1]) == (["Title", "The lead."], 12, "A correction.")
 
 
@@ -40,5 +40,5 @@ def test_region_beyond_its_element():
     body = "".join(f"<p>Paragraph {k} of the body with a good many words in it.</p>" for k in range(9))
     page = "<body>{0}<p>A last section with quite a few words of its own.</p></body>"
     for name in ("entry-content", "plain"):
-        text = html.main_text(page.format(f"<div class='{name}'>{body}</div>"), (-0.5, -1.0))
+        text = html.main_text(page.format(f"<div class='{name}'>{body}</div>"), html.Weights(-0.5, -1.0))
         assert text.endswith("Paragraph 8 of the body with a good many words in it.\nA last section with quite a few words of its own.")
