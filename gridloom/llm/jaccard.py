@@ -7,18 +7,26 @@ the larger, in any order common to all: here rare before frequent (by a sketch o
 size that counts hash cells over all texts), then by hash. Only those leading shingles and one
 in `EVIDENCE` more are shuffled, packed as bytes, each task sending a node once; with these,
 similar sets must share several, so a node with fewer shingles known to any other text is
-passed over (passages that texts share seldom get that far). Inverted lists of up to
-`SHORT_LIST` nodes give all their pairs; from longer ones every node is first paired with
-the smallest node of a fitting size, and once components are known, only nodes of
-different components are paired. So a group of thousands of copies costs its size, not its
-square, and no link between different components is lost.
-
-Candidates are first screened by sketches that bound the overlap from above, then searched by T-occurrence with DivideSkip: around one query set, the others'
-inverted lists; short lists are merged by a heap, candidates that still can reach the
-overlap are looked up in the long lists by binary search; what reaches it is counted
-exactly and must satisfy 100 * intersection >= 75 * union. Components are found by stars
-over the verified links, never on the driver. Style: Arrow batches with numpy, plain
-DataFrame joins between; intermediate tables are in the shared folder.
+passed over (passages that texts share seldom get that far).
+
+Inverted lists with the same nodes are one list, so a passage or a group of copies is
+handled once and not once a shingle; lists of frequent shingles are never gathered. In
+every list and class of fitting sizes each node is first paired with one leader, and
+leaders of neighbouring classes with each other; once components are known, only nodes of
+different components are paired, long lists in pairs of chunks of about `CHUNK` nodes. So a
+group of thousands of copies costs its size, not its square, no list lies in one task, and no
+link between different components is lost.
+
+Pairs whose sketches leave room for the overlap are searched by T-occurrence: the
+candidates of a query set are indexed, shingle to ascending list of candidates, and
+DivideSkip merges the short ones of the query's lists by a heap and probes the long ones by
+binary search. What it gives are the candidates that reach the overlap, with their counts;
+of these, those with 100 * intersection >= 75 * union are links. Components are found by
+stars over the links, never on the driver. Style: Arrow batches with numpy, plain DataFrame
+joins between; intermediate tables are in the shared folder and go when they are read.
+
+Sets are told apart by 64-bit hashes: among 2e10 different texts some ten pairs would be
+taken for one.
 
 Edge cases: a null or blank text has an empty set and is its own component; fewer than
 five words make one shingle; texts of any length are used whole; rows with the same id are
@@ -35,11 +43,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.shared import slices, written
+from gridloom.llm.shared import release, slices, written
 from gridloom.llm.wordhash import mix, shingle_sets
 
 WIDTH = 5
@@ -47,14 +56,14 @@ WIDTH = 5
 MET, OF = 75, 100
 #: Cells of the sketch, in how many parts it is added up.
 CELLS, PARTS = 1 << 20, 16
-#: Longest inverted list all of whose pairs are tried at once.
-SHORT_LIST = 4
+#: Nodes of a list that are paired in one group; nodes of a list whose pairs are screened there.
+CHUNK, SCREENED = 512, 32
 #: One shingle in so many is sent besides those that find a similar set.
 EVIDENCE = 16
 #: Shingles of candidates searched in one group, postings sent in one row.
 GROUP, SENT = 1 << 19, 1 << 18
-#: Bits of a document id's hash that say whether its text is wanted.
-FLAG_BITS = 23
+#: Least and most bits of a document id's hash that say whether its text is wanted; eight flags a wanted id between.
+FLAG_BITS = (16, 28)
 _NONE = -9223372036854775808
 
 
@@ -183,14 +192,11 @@ def sent_of(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n + (-MET * n) // OF + 1 + n // EVIDENCE)
 
 
-def shared_least(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """How many shingles two similar sets of n <= m surely share among those sent: what is not sent cannot make up for less."""
-    overlap = -(-MET * (n + m) // (MET + OF))
-    return np.maximum(1, overlap - np.maximum(n - sent_of(n), m - sent_of(m)))
-
-
 def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Rows (bucket, tokens, nodes, sizes): packed postings; a size's lowest bit says whether it counts for the smaller set."""
+    """Rows of _SENT: 40 bits of each shingle, packed (more could only part lists, not lose one), and runs of them that belong to one node, the first `inner` of which count when it is the smaller one.
+
+    A shingle's postings have one bucket, but those of frequent shingles are dealt by node as well.
+    """
     packed = np.packbits(frequent)
 
     def run(batches):
@@ -202,16 +208,23 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         def sent() -> pa.RecordBatch:
             tokens = np.concatenate([h[0] for h in held])
             lengths = [len(h[0]) for h in held]
-            nodes = np.repeat(np.array([h[1] for h in held], np.int64), lengths)
-            sizes = np.repeat(np.array([h[2] for h in held], np.int64) * 2, lengths)
+            of = np.repeat(np.arange(len(held)), lengths)
             inner = np.concatenate([np.arange(k) for k in lengths]) < np.repeat([h[3] for h in held], lengths)
-            sizes = (sizes + inner).astype(np.uint32)
-            bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+            nodes, sizes = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.uint32)
+            often = flags[_cell(tokens)]
+            bucket = (mix(np.where(often, tokens ^ mix(nodes.view(np.uint64))[of], tokens)) % np.uint64(buckets)).astype(np.int64) * 2 + often
             order = np.argsort(bucket, kind="stable")
-            here, first = np.unique(bucket[order], return_index=True)
-            cut = lambda x: [p.tobytes() for p in np.split(x[order], first[1:])]
+            tokens, bucket, of, inner = tokens[order], bucket[order], of[order], inner[order]
+            fresh = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (of[1:] != of[:-1])])
+            place = np.arange(len(tokens))
+            run = np.flatnonzero((place - np.maximum.accumulate(np.where(fresh, place, 0))) % 255 == 0)
+            here, first = np.unique(bucket, return_index=True)
+            at = np.searchsorted(run, first)
+            cut = lambda x, at: pa.array([p.tobytes() for p in np.split(x, at[1:])], pa.binary())
+            counts, inner = np.diff([*run, len(tokens)]).astype(np.uint8), np.add.reduceat(inner, run, dtype=np.uint8)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), *(pa.array(cut(x), pa.binary()) for x in (tokens, nodes, sizes))], names=["bucket", "tokens", "nodes", "sizes"])
+            runs = [cut(x, at) for x in (nodes[of[run]], sizes[of[run]], counts, inner)]
+            return pa.RecordBatch.from_arrays([pa.array(here >> 1, pa.int64()), pa.array((here & 1).astype(bool)), cut(tokens.astype(np.uint32), first), cut((tokens >> np.uint64(32)).astype(np.uint8), first), *runs], names=[c.split()[0] for c in _SENT.split(", ")])
 
         for batch in slices(batches):
             for s in shingle_sets(batch.column("text"), WIDTH):
@@ -227,117 +240,176 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         if held:
             yield sent()
 
-    return docs.select("text").mapInArrow(run, "bucket long, tokens binary, nodes binary, sizes binary")
+    return docs.select("text").mapInArrow(run, _SENT)
+
+
+_SENT = "bucket long, often boolean, low binary, high binary, nodes binary, sizes binary, counts binary, inner binary"
+
+
+def merged_lists(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, often: bool) -> tuple[np.ndarray, ...]:
+    """(list, node, size, times) of the postings of whole lists: those with the same nodes are one, `times` how many it stands for.
 
+    Shingles of one node alone are left out. `often`: lists may be in parts, each is named by its shingle.
+    """
+    order = np.lexsort((nodes, tokens))
+    tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
+    tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
+    if often:
+        return tokens.view(np.int64), nodes, sizes, np.ones(len(nodes), np.int64)
+    same = tokens[1:] == tokens[:-1]
+    more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    tokens, nodes, sizes = tokens[more], nodes[more], sizes[more]
+    if not len(tokens):
+        return tokens.view(np.int64), nodes, sizes, sizes
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    length = np.diff([*first, len(tokens)])
+    names = np.repeat(mix(np.add.reduceat(mix(nodes.view(np.uint64)), first) + length.astype(np.uint64)).view(np.int64), length)
+    order = np.lexsort((nodes, names))
+    names, nodes, sizes = names[order], nodes[order], sizes[order]
+    first = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (nodes[1:] != nodes[:-1])]))
+    return names[first], nodes[first], np.maximum.reduceat(sizes, first), np.diff([*first, len(names)])
 
-def _pairs(nodes, sizes, inner, known, apart=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list that fit in size, the smaller's posting counting for it, both with enough shingles
-    known to others for what they must share; `apart`: only of different values."""
+
+def shared_lists(sent: DataFrame) -> DataFrame:
+    """Rows (list, node, size, times) of the lists that two nodes or more have in common."""
+
+    def lists(table: pa.Table) -> pa.Table:
+        out = []
+        for often in (False, True):
+            rows = table.filter(pa.compute.equal(table.column("often"), often))
+            if rows.num_rows:
+                read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rows.column(c).to_pylist()])  # noqa: B023, E731
+                counts = read("counts", np.uint8).astype(np.int64)
+                place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                sizes = np.repeat(read("sizes", np.uint32).astype(np.int64) * 2, counts) + (place < np.repeat(read("inner", np.uint8), counts))
+                tokens = read("low", np.uint32) | read("high", np.uint8).astype(np.uint64) << np.uint64(32)
+                out.append(merged_lists(tokens, np.repeat(read("nodes", np.int64), counts), sizes, often))
+        return pa.table({name: np.concatenate([x[k] for x in out]) for k, name in enumerate(("list", "node", "size", "times"))})
+
+    return written(sent.groupBy("bucket").applyInArrow(lists, "list long, node long, size long, times long"))
+
+
+def least_known(n: Column) -> Column:
+    """The least `shared_least` of a set of n and any that can be similar to it: the overlap is at least ceil(3/4 of the larger),
+    of which a set keeps back ceil(3/4 n) - 1 - n // EVIDENCE."""
+    return 1 + F.floor(n / EVIDENCE)
+
+
+def strong_lists(shared: DataFrame) -> DataFrame:
+    """Rows (list, node, size, known): the lists without nodes that share too few shingles with others; known is how many."""
+    known = shared.groupBy("node").agg(F.sum("times").alias("known"))
+    n = F.floor(F.col("size") / 2)
+    rows = shared.select("list", "node", "size").join(known, "node").where(F.col("known") >= least_known(n))
+    return written(rows.groupBy("list", "node").agg(F.max("size").alias("size"), F.first("known").alias("known")))
+
+
+def first_candidates(strong: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): in every list and class of sizes that fit each other each node with a leader,
+    the one that shares the largest part of its shingles: what others were copied from, if it is there, is
+    nearer to all of them than they are to each other. Leaders of neighbouring classes are paired as well.
+    """
+    n = F.floor(F.col("size") / 2)
+    rows = strong.select("list", "node", n.alias("n"), "known", F.floor(F.log(n) / F.log(F.lit(OF / MET))).cast("int").alias("class"))
+    leaders = rows.groupBy("list", "class").agg(F.max(F.struct((F.col("known") / F.col("n")).alias("share"), F.col("node"))).alias("x"))
+    leaders = leaders.select("list", "class", F.col("x.node").alias("leader"))
+    pairs = rows.join(leaders, ["list", "class"]).select("node", "leader")
+    next_to = leaders.join(leaders.select("list", (F.col("class") - 1).alias("class"), F.col("leader").alias("node")), ["list", "class"]).select("node", "leader")
+    pairs = pairs.unionByName(next_to).where("node <> leader")
+    return pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+
+
+def shared_least(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many shingles two similar sets of n and m surely share among those sent: what is not sent cannot make up for less."""
+    overlap = -(-MET * (n + m) // (MET + OF))
+    return np.maximum(1, overlap - np.maximum(n - sent_of(n), m - sent_of(m)))
+
+
+def _pairs(nodes, sizes, inner, known, root, part) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots, and parts if there are two, that fit in size, the smaller's posting counting for it,
+    both with enough shingles known to others for what they must share."""
     order = np.lexsort((nodes, sizes))
-    nodes, sizes, inner, known = nodes[order], sizes[order], inner[order], known[order]
-    apart = None if apart is None else apart[order]
+    nodes, sizes, inner, known, root, part = (x[order] for x in (nodes, sizes, inner, known, root, part))
     upto = np.searchsorted(sizes, sizes * OF // MET, "right")
+    two = part.min() != part.max()
     left, right = [], []
     for k in range(len(nodes) - 1):
         j = np.arange(k + 1, upto[k])
-        j = j[(inner[k] | (inner[j] & (sizes[j] == sizes[k]))) & (np.minimum(known[k], known[j]) >= shared_least(sizes[k], sizes[j]))]
-        if apart is not None:
-            j = j[apart[j] != apart[k]]
+        j = j[(root[j] != root[k]) & (inner[k] | (inner[j] & (sizes[j] == sizes[k])))]
+        if two:
+            j = j[part[j] != part[k]]
+        j = j[np.minimum(known[k], known[j]) >= shared_least(sizes[k], sizes[j])]
         if len(j):
             left.append(np.full(len(j), nodes[k]))
             right.append(nodes[j])
     none = np.zeros(0, np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+    a, b = np.concatenate(left or [none]), np.concatenate(right or [none])
+    return np.maximum(a, b), np.minimum(a, b)
 
 
-def _leaders(nodes, sizes, known) -> tuple[np.ndarray, np.ndarray]:
-    """In each stretch of fitting sizes every node with the one that shares the largest part of its shingles:
-    what others were copied from, if it is there, is nearer to all of them than they are to each other."""
-    order = np.lexsort((nodes, sizes))
-    nodes, sizes, known = nodes[order], sizes[order], known[order]
-    left, right, k = [], [], 0
-    while k < len(nodes):
-        upto = int(np.searchsorted(sizes, sizes[k] * OF // MET, "right"))
-        best = k + int(np.argmax(known[k:upto] / sizes[k:upto]))
-        j = np.delete(np.arange(k, upto), best - k)
-        j = j[np.minimum(known[best], known[j]) >= shared_least(np.minimum(sizes[best], sizes[j]), np.maximum(sizes[best], sizes[j]))]
-        left.append(np.full(len(j), nodes[best]))
-        right.append(nodes[j])
-        k = upto
-    return np.concatenate(left), np.concatenate(right)
-
-
-def shared_postings(sent: DataFrame) -> DataFrame:
-    """Rows (token, node, size) of the postings that two nodes or more have in common."""
-
-    def lists(table: pa.Table) -> pa.Table:
-        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-        tokens, nodes, sizes = read("tokens", np.uint64), read("nodes", np.int64), read("sizes", np.uint32).astype(np.int64)
-        order = np.lexsort((nodes, tokens))
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-        tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
-        same = tokens[1:] == tokens[:-1]
-        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return pa.table({"token": tokens[more].view(np.int64), "node": nodes[more], "size": sizes[more]})
+def later_candidates(strong: DataFrame, found: DataFrame, at: DataFrame, buckets: int) -> DataFrame:
+    """Candidate pairs (a, b) of lists whose components (node, root) differ; a list within one component is done.
 
-    return written(sent.groupBy("bucket").applyInArrow(lists, "token long, node long, size long"))
+    A list is dealt into chunks by node, and every two chunks, or one with itself, meet in a group. Of lists
+    of more than `SCREENED` nodes only pairs whose sketches leave room for the overlap leave the group.
+    """
+    rows = strong.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k"))
+    mixed = mixed.where("low <> high").select("list", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"), (F.col("k") > SCREENED).alias("long"))
+    rows = rows.join(mixed, "list")
+    part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    name = F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other"))
+    rows = written(rows.select(F.pmod(name, F.lit(buckets)).alias("bucket"), name.alias("name"), "node", "size", "known", "root", "part", "long"))
+    sketches = rows.where("long").select(F.col("bucket").alias("there"), F.col("node").alias("of")).distinct().join(at.select(F.col("node").alias("of"), "n", "sketch"), "of")
 
+    def lists(table: pa.Table, of: pa.Table) -> pa.Table:
+        nodes, ns = of.column("of").to_numpy(), of.column("n").to_numpy()
+        order, sketches = np.argsort(nodes), of.column("sketch").to_pylist()
 
-def first_candidates(shared: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """Candidate pairs (a, b): all pairs of short inverted lists, and of longer ones each node with a leader."""
+        def room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ia, ib = (order[np.searchsorted(nodes[order], x)] for x in (a, b))
+            return _room(ia, ib, ns, sketches)
 
-    def lists(table: pa.Table) -> pa.Table:
-        a, b = _per_list(table, lambda *x: _pairs(*x) if len(x[0]) <= SHORT_LIST else _leaders(x[0], x[1], x[3]))
+        a, b = _per_list(table, room) if table.num_rows else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = shared.join(known, "node").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(lists, "a long, b long").distinct()
-
+    pairs = written(rows.groupBy("bucket").cogroup(sketches.groupBy("there")).applyInArrow(lists, "a long, b long").distinct())
+    release(rows)
+    return pairs
 
-def later_candidates(shared: DataFrame, known: DataFrame, found: DataFrame, at: DataFrame, buckets: int) -> DataFrame:
-    """Candidate pairs of longer lists whose components (node, root) differ; a list within one component is done.
 
-    Lists of the same smallest node, such as those of one passage, meet in one bucket with the
-    sketches of their nodes, so a pair is made and screened once there and given only if it passes.
-    """
-    rows = shared.join(known, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k"), F.min("node").alias("leader"))
-    mixed = mixed.where((F.col("low") != F.col("high")) & (F.col("k") > SHORT_LIST)).select("token", F.pmod(F.xxhash64("leader"), F.lit(buckets)).alias("bucket"))
-    rows = written(rows.join(mixed, "token"))
-    sketches = rows.select(F.col("bucket").alias("there"), F.col("node").alias("of")).distinct().join(at.select(F.col("node").alias("of"), "n", "sketch"), "of")
-
-    def lists(table: pa.Table, of: pa.Table) -> pa.Table:
-        a, b = _per_list(table, _pairs) if table.num_rows else (np.zeros(0, np.int64),) * 2
-        nodes, ns = of.column("of").to_numpy(), of.column("n").to_numpy()
-        order = np.argsort(nodes)
-        ia, ib = (order[np.searchsorted(nodes[order], x)] for x in (a, b)) if len(nodes) else (a, b)
-        keep = _room(ia, ib, ns, of.column("sketch").to_pylist())
-        return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
-
-    return rows.groupBy("bucket").cogroup(sketches.groupBy("there")).applyInArrow(lists, "a long, b long").distinct()
-
-
-def _per_list(table: pa.Table, make) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs that `make` (of nodes, sizes, inner, known and, if there, root) gives of every inverted list."""
-    tokens = table.column("token").to_numpy()
-    order = np.argsort(tokens, kind="stable")
-    tokens = tokens[order]
-    size = table.column("size").to_numpy()[order]
-    columns = [table.column("node").to_numpy()[order], size >> 1, (size & 1).astype(bool), table.column("known").to_numpy()[order]]
-    if "root" in table.column_names:
-        columns.append(table.column("root").to_numpy()[order])
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    a, b, held = [], [], 0
-    for x, y in zip(first, [*first[1:], len(tokens)], strict=True):
-        p = make(*(c[x:y] for c in columns))
-        a.append(p[0])
-        b.append(p[1])
+def _per_list(table: pa.Table, room) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of every list, those of long ones for which `room` (of a, b) holds."""
+    names = table.column("name").to_numpy()
+    order = np.argsort(names, kind="stable")
+    names = names[order]
+    size, long = table.column("size").to_numpy()[order], table.column("long").to_numpy()[order]
+    columns = [table.column("node").to_numpy()[order], size >> 1, (size & 1).astype(bool), *(table.column(c).to_numpy()[order] for c in ("known", "root", "part"))]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    none = np.zeros(0, np.int64)
+    a, b, long_a, long_b, held = [none], [none], [none], [none], 0
+
+    def screened_ones() -> None:
+        """The long lists' pairs are screened once each and then kept or forgotten; a pair may come again from a later list."""
+        (x,), (y,) = _distinct(long_a, long_b)
+        if len(x):
+            keep = room(x, y)
+            a.append(x[keep])
+            b.append(y[keep])
+        long_a[:], long_b[:] = [none], [none]
+
+    for x, y in zip(first, [*first[1:], len(names)], strict=True):
+        p = _pairs(*(c[x:y] for c in columns))
+        (long_a if long[x] else a).append(p[0])
+        (long_b if long[x] else b).append(p[1])
         held += len(p[0])
         if held > SENT:
+            screened_ones()
             a, b = _distinct(a, b)
             held = 0
+    screened_ones()
     a, b = _distinct(a, b)
     return a[0], b[0]
 
@@ -372,23 +444,25 @@ def screened(pairs: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def texts_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (at, text) of documents whose id may be among the wanted: a bitmap of fixed size, so most others are never shuffled."""
-    place = lambda at: (mix(at.view(np.uint64)) >> np.uint64(64 - FLAG_BITS)).astype(np.int64)
+    """Rows (at, text) of documents whose id may be among the wanted: a bitmap sized by their number, so most others are never shuffled."""
+    ids = wanted.select("at").distinct()
+    bits = min(FLAG_BITS[1], max(FLAG_BITS[0], (8 * ids.count()).bit_length()))
+    place = lambda at: (mix(at.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def flags(batches):
-        seen = np.zeros(1 << FLAG_BITS, bool)
+        seen = np.zeros(1 << bits, bool)
         for batch in batches:
             seen[place(batch.column("at").to_numpy())] = True
         yield _flags(np.packbits(seen))
 
     def either(batches):
-        seen = np.zeros(1 << FLAG_BITS >> 3, np.uint8)
+        seen = np.zeros(1 << bits >> 3, np.uint8)
         for batch in batches:
             for part in batch.column("flags").to_pylist():
                 seen |= np.frombuffer(zlib.decompress(part), np.uint8)
         yield _flags(seen)
 
-    each = wanted.select("at").distinct().mapInArrow(flags, "flags binary")
+    each = ids.coalesce(64).mapInArrow(flags, "flags binary")
     (row,) = each.repartition(8, "flags").mapInArrow(either, "flags binary").coalesce(1).mapInArrow(either, "flags binary").collect()
     packed = row["flags"]
 
@@ -427,24 +501,30 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return out
 
 
+class Inverted:
+    """The inverted lists of some sets: shingle to the ascending numbers of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = [len(s) for s in sets]
+        tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(tokens, kind="stable")
+        self.ids = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.tokens, self.first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(self.first, len(tokens))
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        at = np.searchsorted(self.tokens, query)
+        at = at[(at < len(self.tokens)) & (np.append(self.tokens, np.uint64(0))[at] == query)]
+        return [self.ids[self.first[k] : self.first[k + 1]].tolist() for k in at]
+
+
 def similar(query: np.ndarray, others: list[np.ndarray]) -> list[int]:
-    """Which of the other sets are similar to the query set."""
+    """Which of the other sets are similar to the query set, by T-occurrence."""
     if not others:
         return []
-    n = len(query)
-    at, ids = [], []
-    for k, s in enumerate(others):
-        p = np.searchsorted(query, s)
-        inside = p < n
-        hit = p[inside][query[p[inside]] == s[inside]]
-        at.append(hit)
-        ids.append(np.full(len(hit), k))
-    at, ids = np.concatenate(at), np.concatenate(ids)
-    order = np.lexsort((ids, at))
-    _, first = np.unique(at[order], return_index=True)
-    lists = [x.tolist() for x in np.split(ids[order], first[1:])] if len(at) else []
-    least = min(-(-MET * (n + len(s)) // (MET + OF)) for s in others)
-    return [k for k, c in divide_skip(lists, least).items() if OF * c >= MET * (n + len(others[k]) - c)]
+    n, index = len(query), Inverted(others)
+    least = min(-(-MET * (n + m) // (MET + OF)) for m in index.sizes)
+    return [k for k, c in divide_skip(index.lists(query), least).items() if OF * c >= MET * (n + index.sizes[k] - c)]
 
 
 def verified(docs: DataFrame, pairs: DataFrame, at: DataFrame) -> DataFrame:
@@ -498,17 +578,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scanned = scan(docs)
     spark = docs.sparkSession
     total = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) >> 21)
-    shared = shared_postings(postings(docs, frequent_cells(scanned), buckets))
-    known = written(shared.groupBy("node").agg(F.count(F.lit(1)).alias("known")))
-    at = written(places(scanned, known.select("node")))
-    pairs = written(first_candidates(shared, known, buckets))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) >> 22)
+    shared = shared_lists(postings(docs, frequent_cells(scanned), buckets))
+    strong = strong_lists(shared)
+    release(shared)
+    at = written(places(scanned, strong.select("node").distinct()))
+    pairs = written(first_candidates(strong))
     links = verified(docs, screened(pairs, at), at)
     found = components(links)
-    more = written(later_candidates(shared, known, found, at, buckets).join(pairs, ["a", "b"], "left_anti"))
+    later = later_candidates(strong, found, at, buckets)
+    more = screened(later.join(pairs, ["a", "b"], "left_anti"), at)
+    release(strong, pairs, later)
     if more.limit(1).count():
         links = links.unionByName(verified(docs, more, at))
         found = components(links)
+    release(at, more)
     rows = scanned.where("node is not null").select("doc_id", "n", "node")
     rows = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("members"))
