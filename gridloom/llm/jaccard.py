@@ -313,7 +313,8 @@ def first_candidates(strong: DataFrame) -> DataFrame:
     n = F.floor(F.col("size") / 2)
     rows = strong.select("list", "node", n.alias("n"), "known", F.floor(F.log(n) / F.log(F.lit(OF / MET))).cast("int").alias("class"))
     leaders = rows.groupBy("list", "class").agg(F.max(F.struct((F.col("known") / F.col("n")).alias("share"), F.col("node"))).alias("x"))
-    leaders = leaders.select("list", "class", F.col("x.node").alias("leader"))
+    # as a table, so that adaptive execution can split the join with a list that many nodes have
+    leaders = written(leaders.select("list", "class", F.col("x.node").alias("leader")))
     pairs = rows.join(leaders, ["list", "class"]).select("node", "leader")
     next_to = leaders.join(leaders.select("list", (F.col("class") - 1).alias("class"), F.col("leader").alias("node")), ["list", "class"]).select("node", "leader")
     pairs = pairs.unionByName(next_to).where("node <> leader")
