@@ -67,9 +67,9 @@ def predicted(score: Column, threshold: float, region: Column | None = None, ove
     return (score >= limit).cast("int")
 
 
-def ranking(df: DataFrame, score: str, label: str, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
-    """ROC-AUC and PR-AUC (step interpolation) of scores to so many digits: windows over distinct scores, not over rows; null for one class."""
-    rows = df.groupBy(*by, F.round(score, digits).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+def ranking(df: DataFrame, score: str, label: str, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """ROC-AUC and PR-AUC (step interpolation): windows over distinct scores, not over rows; null for one class. digits: of scores rounded first, where there are very many."""
+    rows = df.groupBy(*by, (F.col(score) if digits is None else F.round(score, digits)).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.desc("s"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("n").over(upto)})

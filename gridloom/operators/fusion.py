@@ -57,8 +57,11 @@ def allocated(change: Column, coarse: Column, n: Column, total: Column, least: f
 
 def fuse(icesat: DataFrame, static: DataFrame, ocean: DataFrame, grace: DataFrame) -> DataFrame:
     """Every observation, with what is known of its cell, its month in the ocean and its mascon's mass."""
-    backbone = icesat.withColumn("month_idx", month_idx("time")).withColumnRenamed("time", "exact_time").join(static, ["y", "x"], "left")
-    sums = backbone.where(F.col("mascon_id").isNotNull()).groupBy("mascon_id", "month_idx").agg(F.count("delta_h").alias("_n"), F.sum(F.abs("delta_h")).alias("_total"))
+    seen = icesat.withColumn("month_idx", month_idx("time")).withColumnRenamed("time", "exact_time")
+    backbone = seen.join(static, ["y", "x"], "left")
+    # of all columns only the change and the mascon go into the sums, so this is not the wide join again
+    cells = static.select("y", "x", "mascon_id").where(F.col("mascon_id").isNotNull())
+    sums = seen.select("y", "x", "month_idx", "delta_h").join(cells, ["y", "x"]).groupBy("mascon_id", "month_idx").agg(F.count("delta_h").alias("_n"), F.sum(F.abs("delta_h")).alias("_total"))
     rows = backbone.join(ocean_features(ocean), ["y", "x", "month_idx"], "left")
     rows = rows.join(grace_features(grace).join(sums, ["mascon_id", "month_idx"], "left"), ["mascon_id", "month_idx"], "left")
     return rows.withColumn("lwe_fused", allocated(F.col("delta_h"), F.col("lwe_mo"), F.coalesce("_n", F.lit(0)), F.col("_total"))).drop("_n", "_total")

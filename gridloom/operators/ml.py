@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -14,6 +16,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.profile import order_statistics
+
 #: Edges of the distance buckets in metres.
 DISTANCE_EDGES = [float("-inf"), 5_000.0, 20_000.0, 50_000.0, 100_000.0, float("inf")]
 
@@ -34,10 +38,16 @@ def preparation(numeric: Sequence[str], distance: str | None = None, category: s
     return Pipeline(stages=[*stages, scale[scaler]])
 
 
+def prepared(model: PipelineModel, df: DataFrame, out: str = "features") -> DataFrame:
+    """The rows with their vector, which keeps the names of its entries through the scaling."""
+    rows = model.transform(df)
+    return rows.withMetadata(out, rows.schema["_raw"].metadata)
+
+
 def imputed_exactly(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values by the exact lower median: MLlib's imputer approximates it."""
-    medians = df.agg(*(F.percentile_approx(c, 0.5, 1_000_000_000).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(medians[c])) for c in columns})
+    middle = order_statistics(df, dict.fromkeys(columns, lambda n: [(n - 1) // 2]))
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(next(iter(middle[c].values()), None))) for c in columns})
 
 
 def vectors(df: DataFrame, column: str = "embedding", out: str = "features") -> DataFrame:
@@ -66,12 +76,30 @@ def polynomial(df: DataFrame, columns: Sequence[str], degree: int = 2) -> DataFr
 
 def singular_values(df: DataFrame, k: int, vector: str = "features") -> DataFrame:
     """Of the tall matrix of all rows, through its Gramian of columns."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = df.select(vector_to_array(vector).alias("a")).rdd.map(lambda r: Vectors.dense(r["a"]))
-    s = RowMatrix(rows).computeSVD(k, computeU=False).s.toArray()
-    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(s)], "component int, value double")
+    values = np.linalg.eigvalsh(gramian(df, vector))[::-1][:k]
+    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(np.sqrt(np.maximum(values, 0.0)))], "component int, value double")
+
+
+def gramian(df: DataFrame, vector: str = "features") -> np.ndarray:
+    """Sums of products of all pairs of columns: each task multiplies its Arrow batches, the tasks' matrices are added by entry."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            rows = batch.column("a")
+            if len(rows):
+                x = rows.flatten().to_numpy().reshape(len(rows), -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            at = np.arange(total.size)
+            yield pa.RecordBatch.from_arrays([pa.array(at // len(total)), pa.array(at % len(total)), pa.array(total.ravel())], names=["i", "j", "v"])
+
+    parts = df.select(vector_to_array(vector).alias("a")).mapInArrow(run, "i long, j long, v double")
+    cells = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    n = max((r["i"] for r in cells), default=-1) + 1
+    out = np.zeros((n, n))
+    for r in cells:
+        out[r["i"], r["j"]] = r["v"]
+    return out
 
 
 def clusters(df: DataFrame, ks: Sequence[int] = (4, 6, 8, 10), vector: str = "features", seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -130,12 +158,36 @@ def importances(model, names: Sequence[str], n: int = 10) -> list[tuple[str, flo
     return sorted(((names[k], float(v)) for k, v in enumerate(values)), key=lambda x: (-x[1], x[0]))[:n]
 
 
-def stacked(train: DataFrame, test: DataFrame, label: str, fold: str, vector: str = "features", bases: Sequence[str] = ("forest", "gbt"), extra: Sequence[str] = (), **settings) -> tuple[PipelineModel, DataFrame]:
-    """Base models learn on each half and score the other; a logistic model learns on those scores; bases of all rows score the test."""
+#: Columns beside the base models' results that the corrected stack sees, and its two logistic models.
+META_CONTEXT = ["region_cat_idx", "sin_month", "cos_month", "dist_to_grounding_line", "delta_h"]
+META_LOGISTIC = {"baseline": {"regParam": 0.01, "elasticNetParam": 0.0}, "tuned": {"regParam": 0.1, "elasticNetParam": 0.5}}
+
+
+def importance_table(model, df: DataFrame, vector: str = "features", n: int = 10) -> DataFrame:
+    """The n most important entries of a vector, by the names its assembly left in the column's metadata."""
+    about = df.schema[vector].metadata.get("ml_attr", {})
+    names = {a["idx"]: a.get("name", str(a["idx"])) for kind in about.get("attrs", {}).values() for a in kind}
+    rows = importances(model, [names.get(k, str(k)) for k in range(model.numFeatures)], n)
+    return df.sparkSession.createDataFrame([(k, name, value) for k, (name, value) in enumerate(rows)], "rank int, feature string, importance double")
+
+
+def meta_columns(df: DataFrame, context: Sequence[str] = META_CONTEXT) -> tuple[DataFrame, list[str]]:
+    """The forest's probability, the booster's decision, whether both decide alike, and the context there is, 0 where missing: the 8 inputs of the corrected stack."""
+    near = {"base_agreement": (F.col("decision_forest") == F.col("decision_gbt")).cast("double"), **{f"{c}_meta": F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in context if c in df.columns}}
+    return df.withColumns(near), ["score_forest", "decision_gbt", *near]
+
+
+def stacked(
+    train: DataFrame, test: DataFrame, label: str, fold: str, vector: str = "features", bases: Sequence[str] = ("forest", "gbt"), extra: Sequence[str] = (), meta: str = "logistic", pruned: bool = False, context: Sequence[str] = META_CONTEXT, meta_settings: dict | None = None, **settings
+) -> tuple[PipelineModel, DataFrame]:
+    """Base models learn on each half and score the other; a further model learns on what they say; bases of all rows score the test.
+
+    pruned: it sees `meta_columns`; else the bases' scores and `extra`, which may name the whole feature vector.
+    """
     def layer(fit: DataFrame, on: DataFrame) -> DataFrame:
         for b in bases:
             model = classifier(b, label, vector, **settings.get(b, {})).fit(fit)
-            on = scored(model, on, f"score_{b}").drop("rawPrediction", "probability", "prediction")
+            on = scored(model, on, f"score_{b}").withColumn(f"decision_{b}", F.col("prediction")).drop("rawPrediction", "probability", "prediction")
         return on
 
     halves = [v[0] for v in train.select(fold).distinct().orderBy(fold).collect()]
@@ -143,16 +195,29 @@ def stacked(train: DataFrame, test: DataFrame, label: str, fold: str, vector: st
     for h in halves:
         part = layer(train.where(F.col(fold) != h), train.where(F.col(fold) == h))
         out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
-    assemble = VectorAssembler(inputCols=[*(f"score_{b}" for b in bases), *extra], outputCol="_meta", handleInvalid="skip")
-    meta = Pipeline(stages=[assemble, classifier("logistic", label, "_meta")]).fit(out_of_fold)
-    return meta, meta.transform(layer(train, test))
+    seen = [*(f"score_{b}" for b in bases), *extra]
+    on = layer(train, test)
+    if pruned:
+        (out_of_fold, seen), (on, _) = meta_columns(out_of_fold, context), meta_columns(on, context)
+    assemble = VectorAssembler(inputCols=seen, outputCol="_meta", handleInvalid="skip")
+    model = Pipeline(stages=[assemble, classifier(meta, label, "_meta", **(meta_settings or {}))]).fit(out_of_fold)
+    return model, model.transform(on)
+
+
+#: What the regression on the fused mass column sees.
+MASS_DRIVERS = [
+    "surface", "bed", "thickness", "bed_slope", "dist_to_grounding_line", "clamped_depth", "dist_to_ocean", "ice_draft",
+    "thetao_mo", "t_star_mo", "so_mo", "t_f_mo", "t_star_quarterly_avg", "t_star_quarterly_std", "thetao_quarterly_avg", "thetao_quarterly_std",
+    "lwe_mo", "lwe_quarterly_avg", "lwe_quarterly_std",
+]
 
 
-def regression(train: DataFrame, test: DataFrame, label: str, vector: str = "features", seed: int = 42, **settings) -> DataFrame:
+def regression(train: DataFrame, test: DataFrame, label: str, vector: str = "features", seed: int = 42, **settings) -> tuple[DataFrame, DataFrame]:
+    """Errors on the test rows, and the most important inputs."""
     model = GBTRegressor(featuresCol=vector, labelCol=label, seed=seed, **settings).fit(train)
     rows = model.transform(test)
     values = {m: float(RegressionEvaluator(labelCol=label, metricName=m).evaluate(rows)) for m in ("rmse", "mae", "r2")}
-    return train.sparkSession.createDataFrame([tuple(values.values())], "rmse double, mae double, r2 double")
+    return train.sparkSession.createDataFrame([tuple(values.values())], "rmse double, mae double, r2 double"), importance_table(model, train, vector)
 
 
 def rule_vectors(df: DataFrame, prediction: str) -> DataFrame:

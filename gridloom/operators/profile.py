@@ -76,10 +76,63 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode("m").alias("r")).select("r.*")
 
 
+def order_statistics(df: DataFrame, ranks: dict[str, Callable[[int], Sequence[int]]]) -> dict[str, dict[int, float]]:
+    """The values at some ranks (from 0) of each column's values, null and NaN left out; exact, for any size.
+
+    Each scan counts the values in `BINS` parts of every range still in question, and the part
+    that holds the rank is the next range; a range of one value is done. The driver sees counts only.
+    """
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    ends = long_stats(df, list(ranks), {"n": lambda c: F.count(value(c)), "lo": lambda c: F.min(value(c)), "hi": lambda c: F.max(value(c))}).collect()
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    open_: list[tuple[str, int, float, float, int]] = []  # column, rank, range, values below it
+    for r in ends:
+        open_ += [(r["column"], k, r["lo"], r["hi"], 0) for k in sorted(set(ranks[r["column"]](r["n"]))) if 0 <= k < r["n"]]
+    while open_:
+        ranges = sorted({(c, lo, hi) for c, _, lo, hi, _ in open_ if lo < hi})
+        parts: dict[int, list] = {}
+        if ranges:
+            at = []
+            for i, (c, lo, hi) in enumerate(ranges):
+                v, step = value(c), hi / BINS - lo / BINS
+                k = F.least(F.floor((v - F.lit(lo)) / F.lit(step)), F.lit(BINS - 1)) if step > 0 else F.when(v == F.lit(hi), F.lit(1)).otherwise(F.lit(0))
+                at.append(F.struct(F.lit(i).alias("i"), F.when(v.between(lo, hi), k).cast("int").alias("k"), v.alias("v")))
+            rows = df.select(F.explode(F.array(*at)).alias("x")).select("x.*").where("k is not null")
+            for r in rows.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i", "k").collect():
+                parts.setdefault(r["i"], []).append(r)
+        following = []
+        for c, rank, lo, hi, below in open_:
+            if lo == hi:
+                found[c][rank] = lo
+                continue
+            for r in parts[ranges.index((c, lo, hi))]:
+                if rank < below + r["n"]:
+                    following.append((c, rank, r["lo"], r["hi"], below))
+                    break
+                below += r["n"]
+        open_ = following
+    return found
+
+
+#: Parts of a range that are counted in one scan.
+BINS = 2048
+
+
 def bounds(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Exact interpolated quantiles with extremes and mean."""
-    q = lambda p: lambda c: F.percentile(F.col(c).cast("double"), F.lit(p))
-    return long_stats(df, columns, {"p_low": q(low), "p_high": q(high), "min": lambda c: F.min(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double")), "mean": lambda c: F.avg(F.col(c).cast("double"))})
+    stats = long_stats(df, columns, {"n": lambda c: F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))), "min": lambda c: F.min(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double")), "mean": lambda c: F.avg(F.col(c).cast("double"))}).collect()
+    place = lambda p, n: p * (n - 1)
+    found = order_statistics(df, dict.fromkeys(columns, lambda n: [k for p in (low, high) for k in (int(place(p, n)), int(place(p, n)) + 1)]))
+
+    def at(c: str, p: float, n: int) -> float | None:
+        if not n:
+            return None
+        k = int(place(p, n))
+        a = found[c][k]
+        return a + (place(p, n) - k) * (found[c].get(k + 1, a) - a)
+
+    rows = [(r["column"], at(r["column"], low, r["n"]), at(r["column"], high, r["n"]), r["min"], r["max"], r["mean"]) for r in stats]
+    return df.sparkSession.createDataFrame(rows, "column string, p_low double, p_high double, min double, max double, mean double")
 
 
 def monthly_means(df: DataFrame, time: str, candidates: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.profile import bounds, completeness
 from gridloom.sources.tables import union_by_name
 
 #: Plausible ranges of the variables, and of coordinates and time.
@@ -112,6 +113,80 @@ def tile_audit(df: DataFrame, column: str, warn: float, low: float, high: float)
     return counted(df, {"warn_magnitude": F.abs(column) > warn, "outside_limits": (F.col(column) < low) | (F.col(column) > high)})
 
 
+#: Columns of the fused store; those whose lack ends the checks.
+STORE = [
+    "y", "x", "exact_time", "month_idx", "mascon_id", "surface", "bed", "thickness", "bed_slope", "dist_to_grounding_line", "clamped_depth", "dist_to_ocean", "ice_draft",
+    "delta_h", "ice_area", "surface_slope", "h_surface_dynamic", "thetao_mo", "t_star_mo", "so_mo", "t_f_mo",
+    "t_star_quarterly_avg", "t_star_quarterly_std", "thetao_quarterly_avg", "thetao_quarterly_std", "lwe_mo", "lwe_quarterly_avg", "lwe_quarterly_std", "lwe_fused",
+]
+CRITICAL = ("lwe_fused", "lwe_mo", "delta_h", "mascon_id")
+
+
+def store_columns(df: DataFrame) -> DataFrame:
+    """Which columns of the store are there, and which are critical."""
+    rows = [(c, c in df.columns, c in CRITICAL) for c in STORE]
+    return df.sparkSession.createDataFrame(rows, "column string, present boolean, critical boolean")
+
+
+def sparsity(df: DataFrame, columns: Sequence[str] = STORE) -> DataFrame:
+    """Per column of the store that is there how many rows have it; one scan."""
+    return completeness(df, [c for c in columns if c in df.columns])
+
+
+def amplification(df: DataFrame) -> DataFrame:
+    """The allocated mass beside the value it comes from: extremes, mean, 1st and 99th percentile, and the largest magnitude as a multiple."""
+    rows = df.where(F.col("lwe_fused").isNotNull())
+    p = bounds(rows, ["lwe_fused"]).select("p_low", "p_high")
+    ends = rows.agg(*(f(c).alias(f"{n}_{c}") for c in ("lwe_fused", "lwe_mo") for n, f in (("min", F.min), ("max", F.max))), F.avg("lwe_fused").alias("mean_lwe_fused"))
+    largest = lambda c: F.greatest(F.abs(f"min_{c}"), F.abs(f"max_{c}"))
+    both = ends.select(F.lit(1).alias("one"), "*").join(p.select(F.lit(1).alias("one"), "*"), "one").drop("one")
+    return both.withColumn("amplification", largest("lwe_fused") / F.greatest(F.coalesce(largest("lwe_mo"), F.lit(1.0)), F.lit(1e-12)))
+
+
+def share_checks(df: DataFrame, mask: str | None = None, allowed: Sequence[int] = (1, 3), freezing: str | None = None, driving: str | None = None, most: float = 5.0) -> DataFrame:
+    """Mask values that are not allowed fail; freezing points above 0 fail from `most` percent on; the share of positive driving is only told (null)."""
+    n = lambda c: F.count(c)
+    share = lambda c: 100.0 * F.count_if(F.col(c) > 0) / F.nullif(n(c), F.lit(0))
+    parts = []
+    if mask:
+        odd = F.count_if(~F.col(mask).isin(*allowed))
+        parts.append(F.struct(F.lit("mask_values").alias("check"), (odd == 0).alias("passed"), odd.cast("double").alias("value")))
+    if freezing:
+        parts.append(F.struct(F.lit("freezing_above_0").alias("check"), (share(freezing) < most).alias("passed"), share(freezing).alias("value")))
+    if driving:
+        parts.append(F.struct(F.lit("driving_above_0").alias("check"), F.lit(None).cast("boolean").alias("passed"), share(driving).alias("value")))
+    return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+
+
+def raster_sanity(df: DataFrame, slope: str, distance: str, steepest: float = 5.0, farthest: float = 1000.0) -> DataFrame:
+    """Warnings: a slope steeper than it can be, and grounding lines that are nowhere far away; skipped without the column."""
+    rules = [("steep_slope", slope, F.max(slope) <= steepest, F.max(slope)), ("near_grounding_line", distance, F.max(distance) >= farthest, F.max(distance))]
+    have = [(name, ok, value) for name, c, ok, value in rules if c in df.columns]
+    tracked_rows = df.agg(F.array(*(F.struct(F.lit(n).alias("check"), F.when(ok, "pass").otherwise("warn").alias("state"), v.cast("double").alias("value")) for n, ok, v in have)).alias("a"))
+    out = tracked_rows.select(F.explode("a").alias("r")).select("r.*")
+    missing = [(name, "skip", None) for name, c, _, _ in rules if c not in df.columns]
+    return out.unionByName(df.sparkSession.createDataFrame(missing, "check string, state string, value double")) if missing else out
+
+
+def tracked(checks: dict[str, DataFrame | None], warnings: Sequence[str] = ()) -> DataFrame:
+    """All checks (rows check, passed) of several tables as (table, check, state): pass, fail, warn where a failure is only a warning, skip without a table."""
+    parts, skipped = [], [(name, "*", "skip") for name, df in checks.items() if df is None]
+    for name, df in checks.items():
+        if df is not None:
+            failed = F.when(F.col("check").isin(*warnings), "warn").otherwise("fail")
+            parts.append(df.select(F.lit(name).alias("table"), "check", F.when(F.col("passed"), "pass").otherwise(failed).alias("state")))
+            spark = df.sparkSession
+    if skipped and parts:
+        parts.append(spark.createDataFrame(skipped, "table string, check string, state string"))
+    return union_by_name(parts)
+
+
+def tracked_code(states: DataFrame) -> int:
+    """0: all passed or skipped, 1: warnings, 2: failures."""
+    found = {r["state"] for r in states.select("state").distinct().collect()}
+    return 2 if "fail" in found else int("warn" in found)
+
+
 def exit_code(checks: DataFrame, warnings: Sequence[str] = ()) -> int:
     """0: all passed, 1: only warnings failed, 2: others did. The table has a row a check."""
     failed = [r["check"] for r in checks.where(~F.col("passed")).select("check").collect()]

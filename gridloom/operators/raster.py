@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.physics import EARTH_RADIUS
+from gridloom.sources.tables import checkpointed
 
 
 def grid(spark: SparkSession, n: int, step: float, m: int | None = None) -> DataFrame:
@@ -157,12 +158,13 @@ def at_depth(profiles: DataFrame, target: str = "target", points: str = "profile
     return profiles.withColumn("value", lo["value"] + share * (hi["value"] - lo["value"]))
 
 
-def nearest_point(queries: DataFrame, points: DataFrame, id_q: str, id_p: str, first_ring: float = 0.02) -> DataFrame:
+def nearest_point(queries: DataFrame, points: DataFrame, id_q: str, id_p: str, a_cube: float = 4.0) -> DataFrame:
     """The nearest point (lat, lon in degrees) of each query by great circle, with the distance in metres; ties to the smaller id.
 
-    Both sides are cut into cubes of the unit sphere's space; a query meets the 27 cubes around
-    it and is settled if its best point is nearer than a cube's edge; the others go on with
-    cubes twice as large. At most as many rounds as doublings up to the sphere's diameter.
+    Both sides are cut into cubes of the unit sphere's space, at first so small that one would hold
+    `a_cube` points if they lay evenly; a query meets the 27 cubes around it and is settled if its
+    best point is nearer than a cube's edge; the others go on with cubes twice as large, so dense
+    places are done with in small cubes. Rounds are tables in the shared folder.
     """
     def placed(df: DataFrame) -> DataFrame:
         la, lo = F.radians("lat"), F.radians("lon")
@@ -171,21 +173,23 @@ def nearest_point(queries: DataFrame, points: DataFrame, id_q: str, id_p: str, f
     q = placed(queries.select(F.col(id_q).alias("_q"), "lat", "lon"))
     p = placed(points.select(F.col(id_p).alias("_p"), "lat", "lon")).select("_p", *(F.col(c).alias(c + "p") for c in ("_x", "_y", "_z")))
     around = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(o, "abc", strict=True))) for o in np.ndindex(3, 3, 3)))
-    ring, settled = first_ring, []
+    q, p = checkpointed(q), checkpointed(p)
+    ring, settled = min(2.0, (4 * np.pi * a_cube / max(1, p.count())) ** 0.5), []
     while True:
         cut = lambda c: F.floor(F.col(c) / F.lit(ring)).cast("int")  # noqa: B023, E731
         left = q.withColumn("o", F.explode(around)).withColumns({k: cut(f"_{k}") + F.col(f"o.{n}") - 1 for k, n in zip("xyz", "abc", strict=True)})
         right = p.withColumns({k: cut(f"_{k}p") for k in "xyz"})
         chord = F.sqrt(sum(F.pow(F.col(f"_{k}") - F.col(f"_{k}p"), 2) for k in "xyz"))
-        best = left.join(right, ["x", "y", "z"]).groupBy("_q").agg(F.min(F.struct(chord.alias("chord"), F.col("_p").alias("p"))).alias("b")).persist()
+        best = left.join(right, ["x", "y", "z"]).groupBy("_q").agg(F.min(F.struct(chord.alias("chord"), F.col("_p").alias("p"))).alias("b"))
+        best = checkpointed(best)
         done = best.where(F.col("b.chord") <= ring) if ring < 2 else best
         settled.append(done)
         if ring >= 2:
             break
-        q = q.join(done.select("_q"), "_q", "left_anti")
+        q = checkpointed(q.join(done.select("_q"), "_q", "left_anti"))
         if q.limit(1).count() == 0:
             break
-        ring *= 4
+        ring *= 2
     out = reduce(DataFrame.unionByName, settled)
     metres = 2 * EARTH_RADIUS * F.asin(F.least(F.col("b.chord") / 2, F.lit(1.0)))
     return out.select(F.col("_q").alias(id_q), F.col("b.p").alias(id_p), metres.alias("distance"))
@@ -217,6 +221,29 @@ def merged_domains(land: DataFrame, ocean: DataFrame, keys: Sequence[str], value
     return a.join(b, list(keys), "full").select(*keys, F.coalesce("_land", "_ocean").alias(value))
 
 
+def masked(df: DataFrame, mask: str = "mask", values: Sequence[int] = (1, 3)) -> DataFrame:
+    """Cells of these kinds of ground: grounded and floating ice, or floating ice and sea for (2, 3)."""
+    return df.where(F.col(mask).isin(*values))
+
+
+def from_shared_source(cells: DataFrame, source: str, read) -> DataFrame:
+    """What `read` makes of each distinct source once, given to every cell that has it."""
+    return cells.join(read(cells.select(source).distinct()), source, "left")
+
+
+def regridded(cells: DataFrame, value: str, step: float, to: DataFrame) -> DataFrame:
+    """Bilinear values of a lattice (ix, iy at centres (i + 1/2) step) at any points (x, y): the four cells around each, those there
+    are weighing by nearness; null where none is."""
+    near = to.withColumns({"_fx": F.col("x") / step - 0.5, "_fy": F.col("y") / step - 0.5}).withColumns({"_ix": F.floor("_fx"), "_iy": F.floor("_fy")})
+    corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
+    near = near.withColumn("_c", corner).withColumns({"ix": (F.col("_ix") + F.col("_c.a")).cast("int"), "iy": (F.col("_iy") + F.col("_c.b")).cast("int")})
+    part = lambda f, i, k: F.when(F.col(k) == 1, F.col(f) - F.col(i)).otherwise(1 - (F.col(f) - F.col(i)))
+    near = near.withColumn("_w", part("_fx", "_ix", "_c.a") * part("_fy", "_iy", "_c.b"))
+    rows = near.join(cells.select("ix", "iy", F.col(value).alias("_v")), ["ix", "iy"], "left")
+    w = F.when(F.col("_v").isNotNull(), F.col("_w"))
+    return rows.groupBy(*to.columns).agg((F.sum(w * F.col("_v")) / F.nullif(F.sum(w), F.lit(0.0))).alias(value))
+
+
 def cropped(df: DataFrame, lat: str = "lat", north: float = -50.0) -> DataFrame:
     return df.where(F.col(lat) <= north)
 

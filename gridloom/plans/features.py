@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import REGION_CODES, coded, cyclic_month, flag
-from gridloom.operators.groupstats import with_group_stats
+from gridloom.operators.groupstats import residuals, with_group_stats
 from gridloom.operators.windows import Series
 
 REGION, LABEL = "regional_subset_id", "basal_loss_agreement"
@@ -119,7 +119,7 @@ def labelled(df: DataFrame, mode: str = "dual_sensor", by_region: bool = True, f
 def labelled_by_percentile(df: DataFrame) -> DataFrame:
     """The earlier label: fused mass in its mascon month's lowest quarter and change below the cell's mean minus its deviation."""
     df = with_group_stats(df, ["mascon_id", "month_idx"], {"_p": F.percentile("lwe_fused", F.lit(0.25))})
-    df = with_group_stats(df, ["x", "y"], {"_m": F.avg("delta_h"), "_s": F.stddev_samp("delta_h")})
+    df = with_group_stats(df, ["x", "y"], {"_m": F.avg("delta_h"), "_s": F.stddev_samp("delta_h")}, many=True)
     hit = F.coalesce(F.col("lwe_fused") < F.col("_p"), F.lit(False)) & F.coalesce(F.col("delta_h") < F.col("_m") - F.col("_s"), F.lit(False))
     return df.withColumn(LABEL, hit.cast("int")).drop("_p", "_m", "_s")
 
@@ -134,10 +134,50 @@ def ml_ready(store: DataFrame, mode: str = "dual_sensor") -> DataFrame:
     return made(with_context(made(df, CELL)), _series())
 
 
+#: Numeric features in their order.
+NUMERIC = [
+    "surface", "bed", "thickness", "bed_slope", "dist_to_grounding_line", "clamped_depth", "dist_to_ocean", "ice_draft", "delta_h", "ice_area", "surface_slope", "h_surface_dynamic",
+    "bed_below_sea_level", "draft_x_thermal_access", "grounding_line_vulnerability", "retrograde_flag", "pixel_mean_delta_h", "delta_h_deviation", "surface_slope_change",
+    "thermal_driving_x_draft", "thermal_anomaly", "salinity_stratification_proxy", "lwe_trend", "sin_month", "cos_month",
+    "mascon_mean_delta_h", "mascon_mean_t_star", "regional_delta_h_percentile", "regional_lwe_mean", "lwe_mo", "lwe_quarterly_avg", "lwe_quarterly_std",
+    "thetao_mo", "t_star_mo", "so_mo", "t_f_mo", "t_star_quarterly_avg", "t_star_quarterly_std", "thetao_quarterly_avg", "thetao_quarterly_std",
+    "regional_t_star_climatology", "regional_t_star_anomaly", "t_star_6mo_avg", "lwe_6mo_avg", "delta_h_6mo_avg", "t_star_rate", "lwe_rate", "delta_h_rate", "t_star_mom_change", "delta_h_mom_change",
+    "ocean_heat_content_proxy", "draft_ratio", "thermal_x_gl_proximity", "freezing_departure", "bed_geometry_risk", "mass_flux_proxy",
+    "delta_h_momentum", "delta_h_acceleration", "delta_h_deseason", "t_star_momentum", "t_star_sustained_anomaly", "lwe_momentum", "lwe_sustained_trend", "region_cat_idx",
+]
+#: Columns of the second model: those taken relative to their region's mean, those that stay as they are, and those with lags.
+RELATIVE = ["thetao_mo", "t_star_mo", "so_mo", "t_f_mo", "thetao_quarterly_avg", "thetao_quarterly_std", "t_star_quarterly_avg", "t_star_quarterly_std", "regional_t_star_climatology"]
+STATIC = ["dist_to_grounding_line", "grounding_line_vulnerability", "retrograde_flag", "bed_slope", "bed", "clamped_depth", "ice_draft", "thickness", "ice_area", "lwe_trend"]
+LAGGED, LAGS = ["thetao_mo", "t_star_mo"], (1, 3)
+ENGINEERED = [
+    Feature("thermal_driving", ("thetao_mo", "t_f_mo"), _minus("thetao_mo", "t_f_mo")),
+    Feature("t_star_anomaly", ("t_star_mo", "regional_t_star_climatology"), _minus("t_star_mo", "regional_t_star_climatology")),
+]
+#: The region weights that multiply the first ones in the second model.
+SECOND_WEIGHTS = {"amundsen_sea": 10.0, "totten_and_aurora": 5.0, "bellingshausen": 5.0, "antarctic_peninsula": 2.0, "ross": 2.0, "ronne": 2.0}
+
+
 def numeric_features(df: DataFrame, exclude_label_inputs: bool = False) -> list[str]:
-    """Feature columns of a table in a fixed order."""
-    base = ["surface", "bed", "thickness", "bed_slope", "dist_to_grounding_line", "clamped_depth", "dist_to_ocean", "ice_draft", "delta_h", "ice_area", "surface_slope", "h_surface_dynamic"]
-    base += ["lwe_mo", "lwe_quarterly_avg", "lwe_quarterly_std", "thetao_mo", "t_star_mo", "so_mo", "t_f_mo", "t_star_quarterly_avg", "t_star_quarterly_std", "thetao_quarterly_avg", "thetao_quarterly_std"]
-    context = ["mascon_mean_delta_h", "mascon_mean_t_star", "regional_delta_h_percentile", "regional_lwe_mean", "regional_t_star_climatology", "regional_t_star_anomaly"]
+    """Feature columns of a table in their fixed order."""
     have = set(df.columns) - (set(LABEL_INPUTS) if exclude_label_inputs else set())
-    return [c for c in (*base, *context, *(f.name for f in (*CELL, *_series()))) if c in have]
+    return [c for c in NUMERIC if c in have]
+
+
+def firewalled(df: DataFrame, *leaks: str) -> DataFrame:
+    """The table, after making sure that columns which would give the label away are not in it."""
+    if there := [c for c in leaks or ("lwe_fused",) if c in df.columns]:
+        raise ValueError(f"columns that give the label away: {there}")
+    return df
+
+
+def second_set(df: DataFrame, fit: Column) -> tuple[DataFrame, list[str]]:
+    """The second model's columns, made from a table of all features: 9 residuals from the region's mean over the rows to
+    learn from, 4 lags, 4 engineered ones and 10 as they are; and their names, 27 where all inputs are there."""
+    relative, lagged = ([c for c in cs if c in df.columns] for cs in (RELATIVE, LAGGED))
+    df = residuals(df, [REGION], relative, fit)
+    lags = {f"{c}_lag{n}": SERIES.before(c, n) for c in lagged for n in LAGS}
+    angle = F.lit(2.0 * 3.14159265) * F.col("month_idx") / F.lit(12.0)
+    made = {f.name: f.make() for f in ENGINEERED if set(f.needs) <= set(df.columns)} | {"sin_month": F.sin(angle), "cos_month": F.cos(angle)}
+    df = df.withColumns(lags | made)
+    names = [*(f"{c}_resid" for c in relative), *lags, *made, *(c for c in STATIC if c in df.columns)]
+    return df, names

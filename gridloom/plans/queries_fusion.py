@@ -299,9 +299,34 @@ def stratified_first_n(spark, sf):
     return rows.select("regional_subset_id", "y", "x", "month_idx", "rn")
 
 
-@query()
+_KEY = "l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE CAST('0x' || substr(md5('42:' || {_KEY}), 1, 8) AS BIGINT) / 4294967296.0 < 0.1")
 def hash_sample(spark, sf):
-    return sampling.sample(table(spark, sf, "lineitem"), 0.1, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    keys_ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return sampling.sample(table(spark, sf, "lineitem"), 0.1, keys_).select(*keys_, "l_quantity")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN d < 0.7 THEN 0 WHEN d < 0.85 THEN 1 ELSE 2 END AS INT) AS part FROM (SELECT *, CAST('0x' || substr(md5('42:' || {_KEY}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS d FROM lineitem)")
+def random_split(spark, sf):
+    keys_ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return sampling.random_parts(table(spark, sf, "lineitem").select(*keys_), [0.7, 0.15, 0.15], keys_)
+
+
+@query(fused_sql("SELECT split, count(*) AS n, min(month_idx) AS first, max(month_idx) AS last FROM (SELECT month_idx, CASE WHEN month_idx < 23990 THEN 'train' ELSE 'test' END AS split FROM fused WHERE lwe_fused IS NOT NULL AND t_star_mo IS NOT NULL) GROUP BY split"))
+def two_way_split(spark, sf):
+    rows = sampling.two_way(domain.fused(spark, sf), ["lwe_fused", "t_star_mo"], first_test=23990)
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("month_idx").alias("first"), F.max("month_idx").alias("last"))
+
+
+_SECOND = "CASE regional_subset_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in features.SECOND_WEIGHTS.items()) + " ELSE 1.0 END"
+
+
+@query(store_sql(f"SELECT {KEYS}, {R(f'raw * {_SECOND} / (SELECT avg(raw) FROM w WHERE month_idx BETWEEN {BOUNDS[0]} AND {BOUNDS[1]}) AS weight')} FROM w").replace("\nSELECT", f",\nw AS (SELECT l.*, {_WEIGHT}::DOUBLE * CASE WHEN label = 1 THEN CASE WHEN pos_count > 0 THEN neg_count / pos_count ELSE 1 END ELSE 1 END AS raw FROM labelled l LEFT JOIN ({_RATIOS}) USING (regional_subset_id))\nSELECT", 1))
+def compounded_weights(spark, sf):
+    rows = sampling.weighted(labelled(spark, sf), "label", "regional_subset_id", _train(), out="weight")
+    return rounded(sampling.reweighted(rows, "regional_subset_id", features.SECOND_WEIGHTS, "weight"), "y", "x", "month_idx", "weight")
 
 
 _RG = "PARTITION BY regional_subset_id, month_idx"
@@ -317,3 +342,28 @@ _READY_SQL = [
 @query(store_sql(f"SELECT {KEYS}, label, * EXCLUDE ({KEYS}, label, mascon_id) REPLACE (CASE WHEN mascon_id IS NOT NULL THEN mascon_mean_delta_h END AS mascon_mean_delta_h, CASE WHEN mascon_id IS NOT NULL THEN mascon_mean_t_star END AS mascon_mean_t_star) FROM (SELECT {KEYS}, label, mascon_id, {R(*_READY_SQL)} FROM labelled)"))
 def ml_ready_features(spark, sf):
     return rounded(features.ml_ready(store(spark, sf)).withColumnRenamed(features.LABEL, "label"), "y", "x", "month_idx", "label", *_READY)
+
+
+@query("SELECT CAST(k AS INT) AS place, c AS feature FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in features.NUMERIC if c not in ("h_surface_dynamic",)) + "]) AS c, unnest(range(0, 63)) AS k)")
+def numeric_feature_order(spark, sf):
+    names = features.numeric_features(features.firewalled(features.ml_ready(store(spark, sf))))
+    return spark.createDataFrame(list(enumerate(names)), "place int, feature string")
+
+
+_MONTHLY = ["thetao_mo", "t_star_mo", "so_mo", "t_f_mo", "thetao_quarterly_avg", "thetao_quarterly_std", "t_star_quarterly_avg", "t_star_quarterly_std"]
+_LAGGED = [f"lag({c}, {n}) OVER (PARTITION BY x, y ORDER BY month_idx) AS {c}_lag{n}" for c in features.LAGGED for n in features.LAGS]
+_MADE = ["thetao_mo - t_f_mo AS thermal_driving", "t_star_mo - regional_t_star_climatology AS t_star_anomaly", "sin(2.0 * 3.14159265::DOUBLE * month_idx / 12.0) AS sin_month", "cos(2.0 * 3.14159265::DOUBLE * month_idx / 12.0) AS cos_month"]
+_KEPT = ["dist_to_grounding_line AS dist_to_grounding_line", "thickness / (dist_to_grounding_line + 1) AS grounding_line_vulnerability", "CAST(bed_slope < 0 AS INT) AS retrograde_flag", "bed_slope AS bed_slope", "bed AS bed", "clamped_depth AS clamped_depth", "ice_draft AS ice_draft", "thickness AS thickness", "ice_area AS ice_area", "lwe_mo - lwe_quarterly_avg AS lwe_trend"]
+_MEANS = ", ".join(f"avg({c}) AS m_{c}" for c in [*_MONTHLY, "regional_t_star_climatology"])
+
+
+@query(
+    store_sql(f"SELECT {KEYS}, {R(*(f'{c} - coalesce(m_{c}, 0) AS {c}_resid' for c in [*_MONTHLY, 'regional_t_star_climatology']), *_LAGGED, *_MADE, *_KEPT)} FROM r2 LEFT JOIN (SELECT regional_subset_id, {_MEANS} FROM r2 WHERE month_idx BETWEEN {BOUNDS[0]} AND {BOUNDS[1]} GROUP BY 1) USING (regional_subset_id)").replace(
+        "\nSELECT", ",\nr2 AS (SELECT *, avg(t_star_mo) OVER (PARTITION BY regional_subset_id, month_idx) AS regional_t_star_climatology FROM labelled)\nSELECT", 1
+    )
+)
+def second_feature_set(spark, sf):
+    """The 27 columns of the second model."""
+    rows, names = features.second_set(features.ml_ready(store(spark, sf)), _train())
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in names})
+    return rounded(rows, "y", "x", "month_idx", *names)

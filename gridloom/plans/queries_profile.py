@@ -30,9 +30,12 @@ def range_stats(spark, sf):
     return rounded(profile.range_stats(table(spark, sf, "part"), _NUM))
 
 
-@query("SELECT c AS \"column\", count(v) AS n FROM (SELECT unnest(['l_quantity', 'l_tax', 'l_partkey', 'l_orderkey', 'l_suppkey', 'l_linenumber', 'l_extendedprice', 'l_discount']) AS c, unnest([l_quantity, l_tax, l_partkey, l_orderkey, l_suppkey, l_linenumber, l_extendedprice, l_discount]) AS v FROM lineitem) GROUP BY c")
+_LINE = ["l_quantity", "l_tax", "l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount"]
+
+
+@query(f"SELECT c AS \"column\", count(v) AS n, min(v) AS min, max(v) AS max, {R('avg(v) AS mean', 'stddev_samp(v) AS stddev')} FROM {_UNNEST(_LINE, 'lineitem')} GROUP BY c")
 def numeric_summary(spark, sf):
-    return profile.range_stats(table(spark, sf, "lineitem")).select("column", "n")
+    return rounded(profile.range_stats(table(spark, sf, "lineitem")))
 
 
 @query(base_sql("SELECT count(DISTINCT (y, x)) AS n_pixels, count(DISTINCT time) AS n_months FROM icesat"))
@@ -266,3 +269,41 @@ def confusion_back_calc(spark, sf):
     p, r = 0.3 + F.col("s_suppkey") % 5 / 10, 0.2 + F.col("s_suppkey") % 7 / 10
     cells = evaluation.back_calculated(p, r, F.lit(1000).cast("long"), F.lit(20000).cast("long"))
     return table(spark, sf, "supplier").select("s_suppkey", *(c.alias(n) for n, c in cells.items()))
+
+
+@query("SELECT unnest([" + ", ".join(f"'{c}'" for c in quality.STORE) + "]) AS \"column\", unnest([" + ", ".join(str(c != "h_surface_dynamic").lower() for c in quality.STORE) + "]) AS present, unnest([" + ", ".join(str(c in quality.CRITICAL).lower() for c in quality.STORE) + "]) AS critical")
+def fused_schema(spark, sf):
+    return quality.store_columns(domain.fused(spark, sf))
+
+
+_HAVE = [c for c in quality.STORE if c not in ("h_surface_dynamic", "exact_time")]
+
+
+@query(fused_sql(f"SELECT c AS \"column\", count(*) AS n, count(v) AS n_present, count(*) - count(v) AS n_null, round(100.0 * count(v) / count(*), 2)::DOUBLE AS pct FROM {_UNNEST(_HAVE, 'fused')} GROUP BY c"))
+def fused_sparsity(spark, sf):
+    return quality.sparsity(domain.fused(spark, sf), _HAVE)
+
+
+@query(fused_sql(f"SELECT {R('min(lwe_fused) AS min_lwe_fused', 'max(lwe_fused) AS max_lwe_fused', 'min(lwe_mo) AS min_lwe_mo', 'max(lwe_mo) AS max_lwe_mo', 'avg(lwe_fused) AS mean_lwe_fused', 'quantile_cont(lwe_fused, 0.01) AS p_low', 'quantile_cont(lwe_fused, 0.99) AS p_high', 'greatest(abs(min(lwe_fused)), abs(max(lwe_fused))) / greatest(abs(min(lwe_mo)), abs(max(lwe_mo))) AS amplification')} FROM fused WHERE lwe_fused IS NOT NULL"))
+def fused_amplification(spark, sf):
+    return rounded(quality.amplification(domain.fused(spark, sf)))
+
+
+@query(base_sql(f"SELECT 'mask_values' AS \"check\", count(*) FILTER (WHERE mask NOT IN (1, 3)) = 0 AS passed, count(*) FILTER (WHERE mask NOT IN (1, 3))::DOUBLE AS value FROM static UNION ALL SELECT 'freezing_above_0', 100.0 * count(*) FILTER (WHERE T_f > 0) / count(T_f) < 5, {R('100.0 * count(*) FILTER (WHERE T_f > 0) / count(T_f) AS v')} FROM ocean UNION ALL SELECT 'driving_above_0', NULL, {R('100.0 * count(*) FILTER (WHERE T_star > 0) / count(T_star) AS v')} FROM ocean"))
+def mask_and_share_checks(spark, sf):
+    ocean = quality.share_checks(domain.ocean(spark, sf), freezing="T_f", driving="T_star")
+    return rounded(quality.share_checks(domain.static(spark, sf), mask="mask").unionByName(ocean))
+
+
+@query(base_sql("SELECT 'steep_slope' AS \"check\", CASE WHEN max(bed_slope) <= 5 THEN 'pass' ELSE 'warn' END AS state, max(bed_slope)::DOUBLE AS value FROM static UNION ALL SELECT 'near_grounding_line', CASE WHEN max(dist_to_grounding_line) >= 1000 THEN 'pass' ELSE 'warn' END, max(dist_to_grounding_line)::DOUBLE FROM static"))
+def raster_sanity(spark, sf):
+    return quality.raster_sanity(domain.static(spark, sf), "bed_slope", "dist_to_grounding_line")
+
+
+_BEDS = ["surface", "bed", "bed_slope"]
+
+
+@query(base_sql(" UNION ALL ".join(f"SELECT 'static' AS \"table\", 'range_{c}' AS \"check\", CASE WHEN count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) = 0 THEN 'pass' ELSE '{'warn' if c == 'bed' else 'fail'}' END AS state FROM static" for c, (lo, hi) in quality.RANGES.items() if c in _BEDS) + " UNION ALL SELECT 'icesat', '*', 'skip'"))
+def check_tracker(spark, sf):
+    static = domain.static(spark, sf).select(*_BEDS)
+    return quality.tracked({"static": quality.range_checks(static), "icesat": None}, warnings=["range_bed"])

@@ -76,7 +76,7 @@ def tile_canvas(spark, sf):
     return raster.canvas(table(spark, sf, "part").select(F.col("p_retailprice").alias("x"), F.col("p_size").alias("y")), 500.0)
 
 
-@query("SELECT vec_id, coalesce(max(CASE WHEN e > 0 THEN k END), -1) AS deepest FROM (SELECT vec_id, unnest(embedding[1:8]) AS e, unnest(range(0, 8)) AS k FROM embeddings) GROUP BY 1")
+@query("SELECT vec_id, coalesce(max(CASE WHEN e > 0 THEN k END), -1) AS deepest FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(0, len(embedding))) AS k FROM embeddings) GROUP BY 1")
 def deepest_valid_level(spark, sf):
     levels = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("level", "e"))
     out = raster.deepest_level(levels.withColumn("e", F.when(F.col("e") > 0, F.col("e"))), ["vec_id"], "e")
@@ -84,13 +84,13 @@ def deepest_valid_level(spark, sf):
 
 
 @query(
-    "WITH p AS (SELECT vec_id, vec_id % 50 - 5.0::DOUBLE AS t, [0.0::DOUBLE, 10.0, 30.0] AS d, list_transform(embedding[1:3], lambda e: e::DOUBLE) AS e FROM embeddings), k AS (SELECT *, CASE WHEN t >= 10 THEN 2 ELSE 1 END AS k FROM p) "
-    f"SELECT vec_id, {R('e[k] + least(1, greatest(0, (t - d[k]) / (d[k + 1] - d[k]))) * (e[k + 1] - e[k]) AS value')} FROM k"
+    "WITH p AS (SELECT vec_id, vec_id % 650 - 5.0::DOUBLE AS t, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings), "
+    "k AS (SELECT *, CAST(greatest(1, least(floor(t / 10) + 1, len(e) - 1)) AS INT) AS k FROM p) "
+    f"SELECT vec_id, {R('e[k] + least(1, greatest(0, (t - 10 * (k - 1)) / 10)) * (e[k + 1] - e[k]) AS value')} FROM k"
 )
 def depth_interp(spark, sf):
-    depth = [0.0, 10.0, 30.0]
-    profile = F.array(*(F.struct(F.lit(d).alias("depth"), F.col("embedding")[k].cast("double").alias("value")) for k, d in enumerate(depth)))
-    rows = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50 - 5.0).alias("target"), profile.alias("profile"))
+    profile = F.transform("embedding", lambda e, k: F.struct((k * 10.0).alias("depth"), e.cast("double").alias("value")))
+    rows = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 650 - 5.0).alias("target"), profile.alias("profile"))
     return rounded(raster.at_depth(rows), "vec_id", "value")
 
 
@@ -98,7 +98,7 @@ _POINTS = "SELECT {k} AS {n}, CAST({k} * 37 % 1800 AS DOUBLE) / 20 - 90 AS lat,
 
 
 @query(
-    f"WITH q AS ({_POINTS.format(k='s_suppkey', n='s_suppkey', t='supplier')}), p AS ({_POINTS.format(k='c_custkey', n='c_custkey', t='customer WHERE c_custkey % 3 = 0')}), "
+    f"WITH q AS ({_POINTS.format(k='s_suppkey', n='s_suppkey', t='supplier')}), p AS ({_POINTS.format(k='c_custkey', n='c_custkey', t='customer')}), "
     "d AS (SELECT s_suppkey, c_custkey, 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(p.lat - q.lat) / 2), 2) + cos(radians(q.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - q.lon) / 2), 2)))) AS m FROM q, p) "
     "SELECT s_suppkey, round(min(m), 2) + 0 AS distance FROM d GROUP BY 1"
 )
@@ -171,3 +171,37 @@ def feature_trimming(spark, sf):
 def epoch_to_date(spark, sf):
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     return table(spark, sf, "events").select("event_id", keys.from_epoch_ns(ns).alias("day"))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 3)")
+def mask_ice(spark, sf):
+    return raster.masked(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", (1, 3))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size IN (2, 3)")
+def mask_floating(spark, sf):
+    return raster.masked(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", (2, 3))
+
+
+@query("SELECT c_custkey, lat FROM (SELECT c_custkey, CAST(c_custkey * 37 % 1800 AS DOUBLE) / 20 - 90 AS lat FROM customer) WHERE lat <= -50")
+def latitude_crop(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 1800).cast("double") / 20 - 90).alias("lat"))
+    return raster.cropped(rows)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_retailprice * 2 AS doubled FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def shared_sources(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_retailprice") * 2).alias("doubled"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return raster.from_shared_source(rows, "l_partkey", lambda keys: keys.join(part, "l_partkey", "left")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "doubled")
+
+
+@query(
+    f"WITH {_LATTICE}, p AS (SELECT c_custkey, c_custkey % 97 * 37.0::DOUBLE / 8 AS x, c_custkey % 89 * 31.0::DOUBLE / 8 AS y FROM customer), f AS (SELECT *, x / 10 - 0.5 AS fx, y / 10 - 0.5 AS fy FROM p), "
+    "c AS (SELECT *, floor(fx) AS jx, floor(fy) AS jy, unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b FROM f), w AS (SELECT *, CASE WHEN a = 1 THEN fx - jx ELSE 1 - (fx - jx) END * CASE WHEN b = 1 THEN fy - jy ELSE 1 - (fy - jy) END AS w FROM c) "
+    f"SELECT c_custkey, {R('sum(CASE WHEN v IS NOT NULL THEN w * v END) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0) AS v')} FROM w LEFT JOIN lattice ON ix = jx + a AND iy = jy + b GROUP BY 1"
+)
+def regridded_points(spark, sf):
+    k = F.col("c_custkey")
+    to = table(spark, sf, "customer").select("c_custkey", ((k % 97) * 37.0 / 8).alias("x"), ((k % 89) * 31.0 / 8).alias("y"))
+    return rounded(raster.regridded(lattice(spark, sf), "v", 10.0, to), "c_custkey", "v")

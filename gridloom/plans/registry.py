@@ -38,4 +38,4 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*((F.round(F.col(c) + F.lit(SETTLE), 8) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns or df.columns))
 
 
-from gridloom.plans import queries_fusion, queries_ml, queries_profile, queries_raster  # noqa: E402, F401
+from gridloom.plans import queries_fusion, queries_ml, queries_profile, queries_raster, queries_sources  # noqa: E402, F401

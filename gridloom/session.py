@@ -8,10 +8,7 @@ from pyspark.sql import SparkSession
 def session(name: str = "gridloom", **settings: str) -> SparkSession:
     conf = {
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
-        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
     builder = SparkSession.builder.appName(name)
     for k, v in (conf | {k.replace("__", "."): v for k, v in settings.items()}).items():

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -99,10 +103,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def save(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Zstandard Parquet; `by`: hive partitions, each written by few tasks."""
-    rest = [c for c in df.columns if c not in (by or [])]
-    if by and rest:
-        df = df.repartition(*by, F.pmod(F.xxhash64(*rest[:2]), F.lit(8)))
+    """Zstandard Parquet; `by`: hive partitions, each written by as many tasks as its bytes call for (adaptive execution splits large ones)."""
+    if by:
+        df = df.hint("rebalance", *by)
     writer = df.write.mode(mode).option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
@@ -119,13 +122,38 @@ def stage(df: DataFrame, path: str, resume: bool = False) -> DataFrame:
     return scan(df.sparkSession, path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A table in the shared checkpoint folder; without one, a plain reliable checkpoint in the session's."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; in local mode, where none is set, one of this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return stage(df, f"{shared.rstrip('/')}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+        return shared.rstrip("/")
+    there = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/gridloom-shared"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage, outlives lost executors."""
+    return stage(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+@contextmanager
+def kept_on_disk(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows held on the executors' disks while several results are computed from them, and let go afterwards."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def views(spark: SparkSession, paths: dict[str, str]) -> None:
+    """Temporary views over tables of files, for SQL."""
+    for name, path in paths.items():
+        scan(spark, path).createOrReplaceTempView(name)
 
 
 def partition_of(spark: SparkSession, path: str, column: str, value: str) -> DataFrame:
@@ -139,7 +167,7 @@ def save_sample(df: DataFrame, path: str, rows: int, keys: list[str], seed: int
 
     total = df.count()
     out = df if total <= rows else sample(df, min(1.0, 1.2 * rows / total), keys, seed)
-    out.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out.repartition(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def save_first(df: DataFrame, path: str, columns: list[str], order: list[str], n: int = 500) -> None:
