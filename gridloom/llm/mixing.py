@@ -6,8 +6,9 @@ within a limit of repetitions, or the largest whose weights reach an entropy. A
 quota, its weight times the budget, is met by whole passes over its documents and a part
 of one more: blocks of documents in an order drawn for that pass, the block at the limit
 cut again by smaller blocks and at last by document, so nothing larger than 1/65536 of a
-source is ever sorted. Style: DataFrame functions only; one slim table (id, source,
-tokens, hash) is written to the shared folder and read again, texts are never shuffled.
+source is ever sorted. Sources may be any number: the driver sees sums over them only.
+Style: DataFrame functions only; one slim table (id, source, tokens, hash) is written to the
+shared folder and read again, texts are never shuffled.
 
 Edge cases: a null source is the source named by the empty string; a null or blank text
 has no token and comes with every whole pass (and in the partial one if its place is
@@ -18,14 +19,16 @@ columns are kept by `mixed`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.shared import SPACE, written
+from gridloom.llm.shared import SPACE, release, written
 
-#: Bisection steps; the hash's first two and next two hex digits name the blocks.
-STEPS, SEED = 40, "17"
+#: Bisection steps, and how many of them one aggregation over the sources decides; the hash's first two and next two hex digits name the blocks.
+STEPS, AT_ONCE, SEED = 40, 6, "17"
 #: Sources up to which their table is broadcast; it has one row of a few numbers a source.
 BROADCAST_SOURCES = 20_000
 
@@ -53,41 +56,43 @@ def weights(sizes: DataFrame, max_repeats: float | None, entropy: float | None,
     """
     if (max_repeats is None) == (entropy is None):
         raise ValueError("give max_repeats or entropy")
-    live = F.filter("all", lambda s: s["tokens"] > 0)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    one = sizes.agg(F.array_sort(F.collect_list(F.struct("source", F.col("tokens").cast("double").alias("tokens")))).alias("all"))
-    one = one.select("all", live.alias("live"), total(F.transform(live, lambda s: s["tokens"])).alias("n"))
+    live = sizes.where("tokens > 0").select(F.col("tokens").cast("double").alias("tokens"))
+    n = live.agg(F.sum("tokens")).first()[0] or 1.0
 
-    def raised(alpha: Column) -> Column:
-        return F.transform("live", lambda s: F.pow(s["tokens"] / F.col("n"), alpha))
+    def at(alphas: list[float]) -> list[dict[str, float]]:
+        """Sums and extremes of the powers for several exponents, from one aggregation."""
+        grid = live.withColumn("a", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("alpha")) for i, x in enumerate(alphas)))))
+        power = F.pow(F.col("tokens") / F.lit(n), F.col("a.alpha"))
+        stats = {"z": F.sum(power), "logs": F.sum(power * F.log(power)), "most": F.max(power / F.col("tokens")), "least": F.min(power / F.col("tokens"))}
+        return [r.asDict() for r in grid.groupBy("a.i").agg(*(c.alias(k) for k, c in stats.items())).orderBy("i").collect()]
 
-    def too_flat(alpha: Column) -> Column:
-        power = raised(alpha)
+    def too_flat(r: dict[str, float]) -> bool:
         if entropy is not None:
-            z = total(power)
-            return -total(F.transform(power, lambda w: w / z * F.log(w / z))) > entropy
-        per_token = F.zip_with(power, "live", lambda w, s: w / s["tokens"])
+            return math.log(r["z"]) - r["logs"] / r["z"] > entropy
         if budget is None:
-            return F.array_max(per_token) / F.array_min(per_token) > max_repeats
-        return F.lit(budget) * F.col("n") / total(power) * F.array_max(per_token) > max_repeats
-
-    halve = lambda s: (s["low"] + s["high"]) / 2
-    search = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)),
-        F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")),
-        lambda s, _: F.when(too_flat(halve(s)), F.struct(halve(s).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), halve(s).alias("high"))),
-    )
+            return r["most"] / r["least"] > max_repeats
+        return budget * n / r["z"] * r["most"] > max_repeats
+
+    low, high = 0.0, 1.0
+    for begin in range(0, STEPS, AT_ONCE) if live.limit(1).count() else ():
+        depth = min(AT_ONCE, STEPS - begin)
+        # the middles that so many halvings could come to, as a tree: the children of k are 2k + 1 (lower) and 2k + 2
+        ends = [(low, high)]
+        for k in range((1 << depth) - 1):
+            lo, hi = ends[k]
+            ends += [(lo, (lo + hi) / 2), ((lo + hi) / 2, hi)]
+        found = at([(lo + hi) / 2 for lo, hi in ends[: (1 << depth) - 1]])
+        k = 0
+        for _ in range(depth):
+            k = 2 * k + (2 if too_flat(found[k]) else 1)
+        low, high = ends[k]
     # above `high` the limit holds; for an entropy, below `low` it is reached
-    edge = (search["low"] if entropy is not None else search["high"]).alias("alpha")
-    one = one.where(F.size("live") > 0).select("all", "live", "n", edge)
-    one = one.withColumn("z", total(raised(F.col("alpha"))))
-    if budget is None:
-        one = one.withColumn("budget", F.array_max(F.transform("live", lambda s: s["tokens"] * F.col("z") / F.pow(s["tokens"] / F.col("n"), F.col("alpha")))))
-    else:
-        one = one.withColumn("budget", F.lit(budget) * F.col("n"))
-    w = F.when(F.col("s.tokens") > 0, F.pow(F.col("s.tokens") / F.col("n"), F.col("alpha")) / F.col("z")).otherwise(0.0)
-    rows = one.select(F.explode("all").alias("s"), "n", "alpha", "z", "budget")
-    rows = rows.select(F.col("s.source").alias("source"), F.col("s.tokens").cast("long").alias("tokens"), F.round("alpha", 9).alias("alpha"), F.round(w, 9).alias("weight"), F.round(w * F.col("budget")).cast("long").alias("quota"))
+    alpha = low if entropy is not None else high
+    (last,) = at([alpha]) or [{"z": 1.0, "least": 1.0}]
+    whole = last["z"] / last["least"] if budget is None else budget * n
+    t = F.col("tokens").cast("double")
+    w = F.when(t > 0, F.pow(t / F.lit(n), F.lit(alpha)) / F.lit(last["z"])).otherwise(0.0)
+    rows = sizes.select("source", F.col("tokens").cast("long").alias("tokens"), F.round(F.lit(alpha), 9).alias("alpha"), F.round(w, 9).alias("weight"), F.round(w * F.lit(whole)).cast("long").alias("quota"))
     passes = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.greatest("tokens", F.lit(1)))).otherwise(F.lit(1)).cast("int")
     return rows.withColumn("passes", passes).withColumn("left", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(F.lit(0)).cast("long"))
 
@@ -105,7 +110,7 @@ def plan(docs: DataFrame, max_repeats: float | None = None, entropy: float | Non
     """The slim table of documents, and per source its passes and the place where its partial pass ends."""
     source = F.coalesce("source", F.lit("")).alias("source")
     slim = written(docs.select("doc_id", source, n_tokens(F.col("text")).alias("n_tokens"), place(F.col("doc_id")).alias("place")))
-    sizes = slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    sizes = written(slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     per = written(weights(sizes, max_repeats, entropy, budget))
     few = F.broadcast if per.count() <= BROADCAST_SOURCES else (lambda x: x)
     rows = slim.join(few(per.select("source", "passes", "left")), "source")
@@ -119,7 +124,9 @@ def plan(docs: DataFrame, max_repeats: float | None = None, entropy: float | Non
     ends = per
     for name, at in (("block_cut", one), ("small_cut", two), ("place_cut", three)):
         ends = ends.join(few(at.select("source", F.col("cut").alias(name))), "source", "left")
-    return slim, written(ends)
+    ends = written(ends)
+    release(sizes, per, one, two)
+    return slim, ends
 
 
 def drawn(rows: DataFrame, ends: DataFrame, source: Column, at: Column) -> DataFrame:
@@ -147,7 +154,8 @@ def mixture(docs: DataFrame, max_repeats: float | None = None, entropy: float |
 
 def mixed(docs: DataFrame, max_repeats: float | None = None, entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """The rows of `docs`, all columns, each as often as it is drawn."""
-    _, ends = plan(docs, max_repeats, entropy, budget)
+    slim, ends = plan(docs, max_repeats, entropy, budget)
+    release(slim)
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source")
     out = drawn(marked, ends, F.coalesce("source", F.lit("")), place(F.col("doc_id")))
     return out.select("_row.*")
