@@ -7,9 +7,9 @@ bitmaps), which gives the slices of a coarse score; the k-th coarse score is fou
 the most significant slice downward, and every row that could still beat it, by bounds on
 what the left-out bits can add, is resolved exactly with integers. Nothing is approximate.
 
-Rows are dealt into shards of about `SHARD` and queries into blocks of about `BLOCK`; each
-pair of shard and block is one group, so memory is bounded by the two sizes; every group
-gives k rows a query, merged by a window. Style: Arrow groups with numpy.
+Rows are dealt into shards of at most about `SHARD` and sent once; a shard is indexed once, and
+all queries pass by it as a stream, so memory is bounded by a shard and a batch. Every shard
+gives k rows a query, merged by a window. Style: Arrow batches with numpy.
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component take no
 part, nor do rows without an id; vectors of another length than the query's are no
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCALE, K = 1024, 10
-SHARD, BLOCK = 8192, 1024
+#: Rows of a shard at most, and at least where there are more tasks than shards.
+SHARD, SMALL = 65_536, 4096
 #: Leading bits of row and query components in the index, besides the sign.
 ROW_BITS, QUERY_BITS = 6, 5
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -147,11 +148,14 @@ class SlicedIndex:
         return ids[rows[order]], scores[order]
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("vec_id").to_numpy()
-    values = table.column("v").combine_chunks()
-    flat = values.flatten().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0, np.int64)
-    return ids, flat.reshape(len(ids), -1)
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids = batch.column("vec_id").to_numpy()
+    return ids, batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def _found(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    cat = lambda x: pa.array(np.concatenate(x), pa.int64())
+    return pa.RecordBatch.from_arrays([cat([np.full(len(i), q, np.int64) for q, i, _ in parts]), cat([i for _, i, _ in parts]), cat([s for _, _, s in parts])], names=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = K) -> DataFrame:
@@ -159,24 +163,33 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
     rows = rows.withColumn("dim", F.size("v"))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("x")).select("vec_id", "x.v", "x.dim")
-    counts = vectors.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-counts["n"] // SHARD)), max(1, -(-counts["q"] // BLOCK))
-    dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(dealt(shards, "vec_id", "v").alias("shard"), "dim", "vec_id", "v").select(all_of(blocks).alias("block"), "shard", "dim", "vec_id", "v")
-    right = queries.select(dealt(blocks, "vec_id").alias("block"), "dim", "vec_id", "v").select("block", all_of(shards).alias("shard"), "dim", "vec_id", "v")
-
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if a.num_rows and b.num_rows:
-            ids, matrix = _matrix(a)
-            index = SlicedIndex(matrix)
-            for q, vector in zip(*_matrix(b), strict=True):
-                out.append((q, *index.best(vector, ids, q, k)))
-        cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"query_id": cat([np.full(len(i), q) for q, i, _ in out]), "vec_id": cat([i for _, i, _ in out]), "score": cat([s for _, _, s in out])})
-
-    key = ["shard", "block", "dim"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score long")
+    n = vectors.count()
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-n // SHARD), min(tasks, n // SMALL))
+    dealt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard")
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    both = rows.select(dealt, "dim", F.lit(0).alias("query"), "vec_id", "v").unionByName(queries.select(every_shard, "dim", F.lit(1).alias("query"), "vec_id", "v"))
+
+    def run(batches):
+        key, parts, index, ids = None, [], None, None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("shard", "dim", "query")]
+            # stretches of one shard, length and kind
+            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if (here := (int(columns[0][a]), int(columns[1][a]))) != key:
+                    key, parts, index = here, [], None
+                stretch = batch.slice(a, b - a)
+                if not columns[2][a]:
+                    parts.append(_matrix(stretch))
+                elif parts or index:
+                    if index is None:
+                        ids, index, parts = np.concatenate([p[0] for p in parts]), SlicedIndex(np.concatenate([p[1] for p in parts])), []
+                    yield _found([(q, *index.best(vector, ids, q, k)) for q, vector in zip(*_matrix(stretch), strict=True)])
+
+    dealt_out = both.repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "query")
+    found = dealt_out.mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
