@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import written
+from gridloom.llm.shared import release, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: v and what is smaller hang on the least of it
         under = large.groupBy("v").agg(F.min("u").alias("least"))
         small = large.join(under, "v").select(F.explode(F.array(F.struct("v", F.col("least").alias("u")), F.struct(F.col("u").alias("v"), F.col("least").alias("u")))).alias("x")).select("x.*")
-        e = written(small.where("u <> v").distinct())
+        before, e = e, written(small.where("u <> v").distinct())
+        release(before)
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 

@@ -566,7 +566,9 @@ def verified(docs: DataFrame, pairs: DataFrame, at: DataFrame) -> DataFrame:
 
     rows = texts_at(docs, routes).join(routes, "at").select("a", "g", "b", "text")
     rows = rows.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
-    return written(rows.mapInArrow(run, "a long, b long"))
+    out = written(rows.mapInArrow(run, "a long, b long"))
+    release(routes)
+    return out
 
 
 def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -585,15 +587,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     release(shared)
     at = written(places(scanned, strong.select("node").distinct()))
     pairs = written(first_candidates(strong))
-    links = verified(docs, screened(pairs, at), at)
+    likely = screened(pairs, at)
+    links = verified(docs, likely, at)
+    release(likely)
     found = components(links)
     later = later_candidates(strong, found, at, buckets)
     more = screened(later.join(pairs, ["a", "b"], "left_anti"), at)
     release(strong, pairs, later)
     if more.limit(1).count():
-        links = links.unionByName(verified(docs, more, at))
-        found = components(links)
-    release(at, more)
+        others = verified(docs, more, at)
+        found = components(links.unionByName(others))
+        release(others)
+    release(at, more, links)
     rows = scanned.where("node is not null").select("doc_id", "n", "node")
     rows = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("members"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -36,12 +37,16 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set, as in tests."""
+    """The folder all executors share; one of this machine only in local mode where none is set, as in tests."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
     there = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return there.get() if there.isDefined() else f"file://{tempfile.gettempdir()}/gridloom-shared"
+    if there.isDefined():
+        return there.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/gridloom-shared"
 
 
 def written(df: DataFrame) -> DataFrame:
