@@ -135,6 +135,15 @@ def reindexed(points: DataFrame, cells: DataFrame, step: float, tolerance: float
     return at(points).join(c, ["_kx", "_ky"], "left").select(*points.columns, *(F.when(near, F.col(k)).alias(k) for k in keep))
 
 
+def axis(df: DataFrame, c: str, step: float) -> DataFrame:
+    """The distinct snapped coordinates of an axis in order, with the gap to the one before; a regular axis has gaps of one step only.
+
+    One row a coordinate, so the order is of an axis, not of the cells.
+    """
+    snapped_ = df.select((F.round(F.col(c) / step) * F.lit(float(step)) + F.lit(0.0)).alias(c)).distinct()
+    return snapped_.withColumn("gap", F.col(c) - F.lag(c).over(Window.orderBy(c)))
+
+
 def canvas(tiles: DataFrame, step: float) -> DataFrame:
     """The snapped extent over all tiles."""
     s = lambda c: F.round(F.col(c) / step) * F.lit(float(step))

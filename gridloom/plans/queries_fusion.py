@@ -330,17 +330,24 @@ def compounded_weights(spark, sf):
 
 
 _RG = "PARTITION BY regional_subset_id, month_idx"
-_READY = ["mascon_mean_delta_h", "mascon_mean_t_star", "regional_t_star_climatology", "regional_lwe_mean", "regional_t_star_anomaly", "regional_delta_h_percentile", "pixel_mean_delta_h", "delta_h_acceleration", "t_star_6mo_avg", "lwe_rate", "draft_ratio", "sin_month"]
-_READY_SQL = [
-    "avg(delta_h) OVER (PARTITION BY mascon_id, month_idx) AS mascon_mean_delta_h", "avg(t_star_mo) OVER (PARTITION BY mascon_id, month_idx) AS mascon_mean_t_star", f"avg(t_star_mo) OVER ({_RG}) AS regional_t_star_climatology",
-    f"avg(lwe_mo) OVER ({_RG}) AS regional_lwe_mean", f"t_star_mo - avg(t_star_mo) OVER ({_RG}) AS regional_t_star_anomaly", f"(delta_h - avg(delta_h) OVER ({_RG})) / (stddev_samp(delta_h) OVER ({_RG}) + 1e-8) AS regional_delta_h_percentile",
-    f"avg(delta_h) OVER {_ROWS('UNBOUNDED')} AS pixel_mean_delta_h", f"delta_h - 2 * coalesce({_LAG('delta_h')}, delta_h) + coalesce({_LAG('delta_h', 2)}, delta_h) AS delta_h_acceleration",
-    f"avg(t_star_mo) OVER {_ROWS(5)} AS t_star_6mo_avg", f"lwe_mo - coalesce(avg(lwe_mo) OVER {_ROWS(5)}, lwe_mo) AS lwe_rate", "abs(ice_draft) / (thickness + 1) AS draft_ratio", "sin(month_idx % 12 * 2 * pi() / 12) AS sin_month",
-]
+_READY_SQL = {
+    "mascon_mean_delta_h": "CASE WHEN mascon_id IS NOT NULL THEN avg(delta_h) OVER (PARTITION BY mascon_id, month_idx) END", "mascon_mean_t_star": "CASE WHEN mascon_id IS NOT NULL THEN avg(t_star_mo) OVER (PARTITION BY mascon_id, month_idx) END",
+    "regional_t_star_climatology": f"avg(t_star_mo) OVER ({_RG})", "regional_lwe_mean": f"avg(lwe_mo) OVER ({_RG})", "regional_t_star_anomaly": f"t_star_mo - avg(t_star_mo) OVER ({_RG})",
+    "regional_delta_h_percentile": f"(delta_h - avg(delta_h) OVER ({_RG})) / (stddev_samp(delta_h) OVER ({_RG}) + 1e-8)",
+    "pixel_mean_delta_h": f"avg(delta_h) OVER {_ROWS('UNBOUNDED')}", "delta_h_deviation": f"delta_h - avg(delta_h) OVER {_ROWS('UNBOUNDED')}", "surface_slope_change": f"surface_slope - {_LAG('surface_slope')}",
+    "delta_h_acceleration": f"delta_h - 2 * coalesce({_LAG('delta_h')}, delta_h) + coalesce({_LAG('delta_h', 2)}, delta_h)", "delta_h_deseason": f"delta_h - avg(delta_h) OVER {_ROWS(11)}",
+    **{name: f"{c} - coalesce({_LAG(c)}, {c})" for name, c in (("t_star_mom_change", "t_star_mo"), ("delta_h_mom_change", "delta_h"), ("delta_h_momentum", "delta_h"), ("t_star_momentum", "t_star_mo"), ("lwe_momentum", "lwe_mo"))},
+    **{name: f"avg({c}) OVER {_ROWS(5)} - avg({c}) OVER {_ROWS(11)}" for name, c in (("t_star_sustained_anomaly", "t_star_mo"), ("lwe_sustained_trend", "lwe_mo"))},
+    **{f"{name}_6mo_avg": f"avg({c}) OVER {_ROWS(5)}" for name, c in (("t_star", "t_star_mo"), ("lwe", "lwe_mo"), ("delta_h", "delta_h"))},
+    **{f"{name}_rate": f"{c} - coalesce(avg({c}) OVER {_ROWS(5)}, {c})" for name, c in (("t_star", "t_star_mo"), ("lwe", "lwe_mo"), ("delta_h", "delta_h"))},
+    **_CELL, "region_cat_idx": _CODE,
+}
+_READY = list(_READY_SQL)
 
 
-@query(store_sql(f"SELECT {KEYS}, label, * EXCLUDE ({KEYS}, label, mascon_id) REPLACE (CASE WHEN mascon_id IS NOT NULL THEN mascon_mean_delta_h END AS mascon_mean_delta_h, CASE WHEN mascon_id IS NOT NULL THEN mascon_mean_t_star END AS mascon_mean_t_star) FROM (SELECT {KEYS}, label, mascon_id, {R(*_READY_SQL)} FROM labelled)"))
+@query(store_sql("SELECT " + KEYS + ", label, " + ", ".join(f"{c} AS {n}" if c.startswith("CAST") else f"CAST({c} AS INT) AS {n}" if n == "region_cat_idx" else R(f"{c} AS {n}") for n, c in _READY_SQL.items()) + " FROM labelled"))
 def ml_ready_features(spark, sf):
+    """All 41 further columns."""
     return rounded(features.ml_ready(store(spark, sf)).withColumnRenamed(features.LABEL, "label"), "y", "x", "month_idx", "label", *_READY)
 
 

@@ -238,12 +238,17 @@ def region_override_threshold(spark, sf):
     return scored(spark, sf).select("y", "x", "month_idx", evaluation.predicted(F.col("score"), 0.66, F.col("regional_subset_id")).alias("p"))
 
 
+_confusion_by_sql = f"SELECT regional_subset_id, CASE WHEN sum(label) > 0 THEN count(*) FILTER (WHERE q = 1 AND label = 1) / sum(label) ELSE 0 END AS tpr, CASE WHEN sum(1 - label) > 0 THEN count(*) FILTER (WHERE q = 1 AND label = 0) / sum(1 - label) ELSE 0 END AS fpr FROM (SELECT *, {_P} AS q FROM scored) GROUP BY 1"
+
+
 @query(store_sql("WITH d AS (SELECT regional_subset_id AS r, score AS s, sum(label) AS p, sum(1 - label) AS n FROM scored GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM d WINDOW w AS (PARTITION BY r ORDER BY s DESC)) " f"SELECT r AS regional_subset_id, {R('CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum((tp - p / 2) * n) / (sum(p) * sum(n)) END AS roc_auc', 'CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * tp / (tp + fp)) / sum(p) END AS pr_auc')}, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg FROM c GROUP BY r").replace("\nWITH d", ",\nd", 1))
 def ranking_by_region(spark, sf):
     return rounded(evaluation.ranking(scored(spark, sf), "score", "label", ["regional_subset_id"]))
 
 
-@query()
+@query(store_sql(f"WITH c0 AS ({_confusion_by_sql}), d AS (SELECT regional_subset_id AS r, score AS s, sum(label) AS p, sum(1 - label) AS n FROM scored GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM d WINDOW w AS (PARTITION BY r ORDER BY s DESC)), "
+    f"a AS (SELECT r, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * tp / (tp + fp)) / sum(p) END AS area, CAST(sum(p) AS BIGINT) AS n_pos FROM c GROUP BY r) "
+    f"SELECT regional_subset_id, n_pos, {R('area AS pr_auc', 'tpr AS tpr', 'fpr AS fpr')}, tpr >= 0.5 AS passes FROM a JOIN c0 ON r = regional_subset_id WHERE n_pos >= 10").replace("\nWITH c0", ",\nc0", 1))
 def segment_gate(spark, sf):
     return rounded(evaluation.segments(_predicted(spark, sf), "score", "p", "label", "regional_subset_id"))
 
@@ -307,3 +312,8 @@ _BEDS = ["surface", "bed", "bed_slope"]
 def check_tracker(spark, sf):
     static = domain.static(spark, sf).select(*_BEDS)
     return quality.tracked({"static": quality.range_checks(static), "icesat": None}, warnings=["range_bed"])
+
+
+@query(f"SELECT c AS \"column\", count(*) AS n, count(v) AS n_present, count(*) - count(v) AS n_null, round(100.0 * count(v) / count(*), 2)::DOUBLE AS pct FROM {_UNNEST(_LINE, 'lineitem')} GROUP BY c")
+def line_completeness(spark, sf):
+    return profile.completeness(table(spark, sf, "lineitem"), _LINE)

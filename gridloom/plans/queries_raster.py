@@ -205,3 +205,9 @@ def regridded_points(spark, sf):
     k = F.col("c_custkey")
     to = table(spark, sf, "customer").select("c_custkey", ((k % 97) * 37.0 / 8).alias("x"), ((k % 89) * 31.0 / 8).alias("y"))
     return rounded(raster.regridded(lattice(spark, sf), "v", 10.0, to), "c_custkey", "v")
+
+
+@query("WITH a AS (SELECT DISTINCT round(p_retailprice / 7) * 7.0::DOUBLE + 0 AS x FROM part), g AS (SELECT x, x - lag(x) OVER (ORDER BY x) AS gap FROM a) SELECT count(*) AS n, coalesce(min(gap) > 0, true) AS increasing, count(*) FILTER (WHERE gap <> 7) AS n_gaps FROM g")
+def axis_is_monotonic(spark, sf):
+    out = raster.axis(table(spark, sf, "part").select(F.col("p_retailprice").alias("x")), "x", 7.0)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("gap") > 0, F.lit(True)).alias("increasing"), F.count_if(F.col("gap") != 7).alias("n_gaps"))

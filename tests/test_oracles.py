@@ -31,7 +31,7 @@ def test_same_rows(spark, con, name):
     assert a == sorted([tuple(map(plain, r)) for r in want.fetchall()], key=str)
 
 
-@pytest.mark.parametrize("name", ["pca_variance", "svd_singular_values", "kmeans_sweep", "segment_gate"])
+@pytest.mark.parametrize("name", ["pca_variance", "svd_singular_values", "kmeans_sweep"])
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
