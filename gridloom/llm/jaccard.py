@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.shared import release, slices, written
+from gridloom.llm.shared import few, release, slices, written
 from gridloom.llm.wordhash import mix, shingle_sets
 
 WIDTH = 5
@@ -62,6 +62,8 @@ CHUNK, SCREENED = 512, 32
 EVIDENCE = 16
 #: Shingles of candidates searched in one group, postings sent in one row.
 GROUP, SENT = 1 << 19, 1 << 18
+#: Groups that shingles are dealt into, at least; rows of a few numbers up to which the smaller side of a join is broadcast.
+BUCKETS, BROADCAST = 64, 1 << 18
 #: Least and most bits of a document id's hash that say whether its text is wanted; eight flags a wanted id between.
 FLAG_BITS = (16, 28)
 _NONE = -9223372036854775808
@@ -301,8 +303,11 @@ def strong_lists(shared: DataFrame) -> DataFrame:
     """Rows (list, node, size, known): the lists without nodes that share too few shingles with others; known is how many."""
     known = shared.groupBy("node").agg(F.sum("times").alias("known"))
     n = F.floor(F.col("size") / 2)
-    rows = shared.select("list", "node", "size").join(known, "node").where(F.col("known") >= least_known(n))
-    return written(rows.groupBy("list", "node").agg(F.max("size").alias("size"), F.first("known").alias("known")))
+    known = written(known)
+    rows = shared.select("list", "node", "size").join(few(known, BROADCAST), "node").where(F.col("known") >= least_known(n))
+    strong = written(rows.groupBy("list", "node").agg(F.max("size").alias("size"), F.first("known").alias("known")))
+    release(known)
+    return strong
 
 
 def first_candidates(strong: DataFrame) -> DataFrame:
@@ -564,7 +569,7 @@ def verified(docs: DataFrame, pairs: DataFrame, at: DataFrame) -> DataFrame:
         if out := close():
             yield _edges(out)
 
-    rows = texts_at(docs, routes).join(routes, "at").select("a", "g", "b", "text")
+    rows = texts_at(docs, routes).join(few(routes, BROADCAST), "at").select("a", "g", "b", "text")
     rows = rows.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
     out = written(rows.mapInArrow(run, "a long, b long"))
     release(routes)
@@ -581,7 +586,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scanned = scan(docs)
     spark = docs.sparkSession
     total = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) >> 22)
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) >> 22)
     shared = shared_lists(postings(docs, frequent_cells(scanned), buckets))
     strong = strong_lists(shared)
     release(shared)
@@ -616,10 +621,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns: of every component the document of the smallest id."""
     report = written(jaccard_components(docs).select("doc_id", "n_shingles", "component_id"))
-    stay = report.where("doc_id = component_id or component_id is null or n_shingles = 0").select(F.coalesce("doc_id", F.lit(_NONE)).alias("_at"))
+    at = F.coalesce("doc_id", F.lit(_NONE)).alias("_at")
+    stay = report.where("doc_id = component_id or component_id is null or n_shingles = 0").select(at)
+    # those that go are fewer as a rule; an id that several rows have stays if one of them does
+    go = written(report.select(at).join(stay, "_at", "left_anti").distinct())
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_at"), F.xxhash64("text").alias("text"))
     repeated = stay.groupBy("_at").count().where("count > 1").limit(1).count() > 0
-    kept = kept.join(stay.distinct() if repeated else stay, "_at", "left_semi")
+    kept = kept.join(few(go, BROADCAST), "_at", "left_anti")
     if repeated:  # rows of one id: the first of each text
         w = Window.partitionBy("_at", "text").orderBy("row")
         kept = kept.withColumn("k", F.row_number().over(w)).where("k = 1")
