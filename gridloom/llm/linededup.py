@@ -36,6 +36,8 @@ from gridloom.llm.shared import few, release, running, written
 SIMILAR = 0.75
 #: Rows up to which the smaller side of a join is broadcast; they hold a few numbers each.
 BROADCAST = 1 << 18
+#: Lines that go, a number each, up to which they are broadcast to the texts.
+GONE = 1 << 20
 _LAST = 9223372036854775807
 
 
@@ -158,10 +160,10 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def _with_gone(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows with the numbers of their lines that go, null if none do. Broadcast up to BROADCAST such lines in all."""
+    """The rows with the numbers of their lines that go, null if none do."""
     gone = removed_lines(docs)
     each = gone.distinct().groupBy("d", "t").agg(F.array_sort(F.collect_list("number")).alias("gone"))
-    if gone.count() <= BROADCAST:
+    if gone.count() <= GONE:
         each = F.broadcast(each)
     return rows.join(each, ["d", "t"], "left")
 
