@@ -73,22 +73,39 @@ class WordIds:
         self.sentence = np.zeros(1 << 16, bool)
         self.sentence[ends] = True
 
-    def _split(self, word: str) -> tuple[str, str]:
-        """A word of letters and a full stop or comma is two pre-tokens; ASCII letters are lower-cased anyway."""
-        core, stop = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha() else (word, "")
-        if core.isalpha() and is_normalized("NFC", core) and not ("\u03a3" in core or "\u0130" in core):
-            core = core.lower()  # as the tokenizer does, letter by letter
-        return core, stop
-
     def _learn(self, fresh: list[str]) -> None:
-        """Lower-case letters are one pre-token and go to the model; others all at once, MARK between them, or by themselves."""
-        known, model, rest = self.known, self.tokenizer.model, []
+        """Words of letters, perhaps with a full stop or comma behind, are one pre-token or two and go to the model; others to `_learn_odd`.
+
+        ASCII letters are lower-cased anyway, others as the tokenizer does it, letter by letter.
+        """
+        known, stops, tokenize, odd, later = self.known, self.stops, self.tokenizer.model.tokenize, [], []
         for w in fresh:
-            if w.isalpha() and w.islower() and is_normalized("NFC", w):
-                known[w] = array("I", [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))]).tobytes()
-            else:
-                rest.append(w)
-        fresh = rest
+            core, stop = (w, "") if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else ("", "")
+            if not core:
+                odd.append(w)
+                continue
+            if plain := w.isascii():
+                core = core.lower()
+            elif is_normalized("NFC", core):
+                if not ("\u03a3" in core or "\u0130" in core):
+                    core = core.lower()
+                plain = core.islower() and is_normalized("NFC", core)
+            ids = known.get(core)
+            if ids is None:
+                if not plain:
+                    odd.append(core)
+                    later.append((w, core, stop))
+                    continue
+                shown = core if w.isascii() else core.encode().decode("latin-1").translate(self.shown)
+                ids = known[core] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+            known[w] = ids + stops[stop]
+        self._learn_odd(list(dict.fromkeys(odd)))
+        for w, core, stop in later:
+            known[w] = known[core] + stops[stop]
+
+    def _learn_odd(self, fresh: list[str]) -> None:
+        """All at once, MARK between them, or by themselves where that would not part them."""
+        known = self.known
         alone = [w for w in fresh if self.MARK in w or "<" in w]
         for w in alone:
             known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -105,19 +122,13 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, then END_ID."""
-        known, out = self.known, []
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         lists = [self._words(t) for t in texts]
-        fresh = [w for w in set().union(*lists) if w not in known]
-        split = [self._split(w) for w in fresh]
-        self._learn([c for c in dict.fromkeys(c for c, _ in split) if c not in known])
-        for w, (core, stop) in zip(fresh, split, strict=True):
-            known[w] = known[core] + self.stops[stop]
+        self._learn(list(set().union(*lists).difference(known)))
         end = END_ID.to_bytes(4, "little")
-        for words in lists:
-            out.append(np.frombuffer(b"".join([known[w] for w in words]) + end, np.uint32))
-        return out
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, np.uint32) for words in lists]
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -130,12 +141,15 @@ class WordIds:
 def cut_positions(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Where a window may end, ascending, and what a cut there costs; the last is len(ids)."""
     n = len(ids)
-    marks = np.unique(np.concatenate([np.flatnonzero(sentence[ids]) + 1, ends, [n]]))
-    tail = max(1, n - 2 * WINDOW) if last else n
-    marks = np.unique(np.concatenate([marks, np.arange(GAP, n, GAP), np.arange(tail, n)]))
-    cost = np.full(len(marks), OTHER_CUT)
-    cost[np.searchsorted(marks, np.flatnonzero(sentence[ids]) + 1)] = SENTENCE_CUT
-    cost[np.searchsorted(marks, ends)] = 0
+    sentences = np.flatnonzero(sentence[ids]) + 1
+    kind = np.zeros(n + 1, np.uint8)  # 1: elsewhere, 2: the end of a sentence, 3: of a document
+    kind[GAP::GAP] = 1
+    kind[max(1, n - 2 * WINDOW) if last else n :] = 1
+    kind[sentences] = 2
+    kind[ends] = 3
+    kind[0] = 0
+    marks = np.flatnonzero(kind)
+    cost = np.array([0, OTHER_CUT, SENTENCE_CUT, 0])[kind[marks]]
     return marks, cost
 
 
@@ -146,7 +160,7 @@ def plan(marks: np.ndarray, cost: np.ndarray, tail: int, whole: bool = True) ->
     """
     at, pay = [0, *marks.tolist()], [0, *cost.tolist()]
     best, back = [0] * len(at), [0] * len(at)
-    place = {p: k for k, p in enumerate(at) if p >= tail - WINDOW}
+    place = {p: k for k, p in enumerate(at) if p >= tail - WINDOW} if at[-1] >= tail else {}
     queue: deque[tuple[int, int]] = deque()  # (best + position, index), ascending
     for j in range(1, len(at)):
         v = best[j - 1] + at[j - 1]
