@@ -118,7 +118,7 @@ def _words(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words of a text that reveal an entity it holds, as written rows (key, word, strength), strength = PMI / IC, and the masked texts (key, masked)."""
+    """Words of a text that reveal an entity it holds, as written rows (key, word, strength), strength = PMI / IC, and the texts with base spans (key, masked, entities)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), text.alias("text"))
     near = rows.where(text.rlike("[0-9@]")).select("key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
@@ -160,25 +160,28 @@ def disclosing_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = written(judged)
     found = written(pairs.select("key", "entity", "word").join(few(judged, BROADCAST), ["entity", "word"]).groupBy("key", "word").agg(F.max("strength").alias("strength")))
     release(pairs, judged)
-    return found, near.select("key", "masked")
+    return found, near
 
 
 def _added(docs: DataFrame) -> DataFrame:
-    """Rows (key, terms) of the texts with terms; terms: ascending (start, end, strength)."""
-    found, masked = disclosing_terms(docs)
+    """Rows (key, terms) of the texts with terms, to be broadcast up to BROADCAST terms in all; terms: ascending (start, end, strength)."""
+    found, near = disclosing_terms(docs)
     by_key = found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "strength"))).alias("strengths"))
-    masked = masked.join(few(by_key.select("key"), BROADCAST), "key", "left_semi").dropDuplicates(["key"])
+    masked = near.select("key", "masked").join(few(by_key.select("key"), BROADCAST), "key", "left_semi").dropDuplicates(["key"])
     cut, gaps = _cut(F.col("masked"), WORD)
     rows = masked.select("key", cut.alias("cut"), gaps.alias("gaps")).select("key", "cut", _starts(F.col("cut"), F.col("gaps")).alias("at"))
     rows = rows.join(by_key, "key").withColumn("cut", F.arrays_zip("cut", F.slice("at", F.lit(1), F.size("cut")).alias("at")))
     terms = F.transform("cut", lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["cut"])).alias("end"), F.element_at("strengths", F.lower(x["cut"])).alias("strength")))
-    return rows.select("key", F.filter(terms, lambda t: t["strength"].isNotNull()).alias("terms"))
+    added = written(rows.select("key", F.filter(terms, lambda t: t["strength"].isNotNull()).alias("terms")))
+    release(found, near)
+    total = added.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    return F.broadcast(added) if total <= BROADCAST else added
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per document its base counts and digest, and all spans."""
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), base_spans(F.coalesce("text", F.lit(""))).alias("base"))
-    rows = rows.join(few(_added(docs), BROADCAST // 16), "key", "left")
+    rows = rows.join(_added(docs), "key", "left")
     rows = rows.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,strength:double>>")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     terms = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit("").alias("value"), F.lit(0).cast("long").alias("around")))
@@ -187,13 +190,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns; in text base spans are [KIND], generalised words [TERM], removed words nothing."""
-    found, _ = disclosing_terms(docs)
+    found, near = disclosing_terms(docs)
+    release(near)
     by_key = found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "strength"))).alias("strengths"))
     key = row_key(F.col("doc_id"), F.col("text")).alias("key")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key, F.translate("text", MARKS, " " * len(MARKS)).alias("text"))
     for kind in PATTERNS:
         rows = rows.withColumn("text", _masked_kind(kind, F.col("text")))
-    rows = rows.join(few(by_key, BROADCAST // 16), "key", "left")
+    rows = rows.join(F.broadcast(by_key) if found.limit(BROADCAST + 1).count() <= BROADCAST else by_key, "key", "left")
     cut, gaps = _cut(F.col("text"), WORD)
     strength = lambda w: F.element_at("strengths", F.lower(w))
     put = lambda w: F.when(strength(w).isNull(), w).when(strength(w) >= REMOVE, "").otherwise("[TERM]")
