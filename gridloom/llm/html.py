@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import first_by_hash, slices
 
 SAMPLE, SAMPLE_CHARS = 150, 200_000
-#: Tried weights of a tag and of a word in a link; a word outside links counts 1.
-TAG_WEIGHTS, LINK_WEIGHTS = (-0.5, -1.0, -2.0, -4.0, -8.0), (1.0, 0.0, -1.0, -3.0)
+#: Tried weights of a tag and of a word in a link, of equal ones the first; a word outside links counts 1.
+TAG_WEIGHTS, LINK_WEIGHTS = (-1.0, -0.5, -2.0, -4.0, -8.0), (-1.0, 0.0, 1.0, -3.0)
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -73,7 +73,7 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Weights:
-    tag: float = -2.0
+    tag: float = -1.0
     link: float = -1.0
     names: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     article: float = ARTICLE
