@@ -627,6 +627,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     go = written(report.select(at).join(stay, "_at", "left_anti").distinct())
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_at"), F.xxhash64("text").alias("text"))
     repeated = stay.groupBy("_at").count().where("count > 1").limit(1).count() > 0
+    release(report)
     kept = kept.join(few(go, BROADCAST), "_at", "left_anti")
     if repeated:  # rows of one id: the first of each text
         w = Window.partitionBy("_at", "text").orderBy("row")
