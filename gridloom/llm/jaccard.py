@@ -320,7 +320,7 @@ def first_candidates(strong: DataFrame) -> DataFrame:
     leaders = rows.groupBy("list", "class").agg(F.max(F.struct((F.col("known") / F.col("n")).alias("share"), F.col("node"))).alias("x"))
     # as a table, so that adaptive execution can split the join with a list that many nodes have
     leaders = written(leaders.select("list", "class", F.col("x.node").alias("leader")))
-    pairs = rows.join(leaders, ["list", "class"]).select("node", "leader")
+    pairs = rows.join(few(leaders, BROADCAST), ["list", "class"]).select("node", "leader")
     next_to = leaders.join(leaders.select("list", (F.col("class") - 1).alias("class"), F.col("leader").alias("node")), ["list", "class"]).select("node", "leader")
     pairs = pairs.unionByName(next_to).where("node <> leader")
     return pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
@@ -362,8 +362,8 @@ def later_candidates(strong: DataFrame, found: DataFrame, at: DataFrame, buckets
     """
     rows = strong.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k"))
-    mixed = mixed.where("low <> high").select("list", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"), (F.col("k") > SCREENED).alias("long"))
-    rows = rows.join(mixed, "list")
+    mixed = written(mixed.where("low <> high").select("list", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"), (F.col("k") > SCREENED).alias("long")))
+    rows = rows.join(few(mixed, BROADCAST), "list")
     part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     name = F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other"))
@@ -382,7 +382,7 @@ def later_candidates(strong: DataFrame, found: DataFrame, at: DataFrame, buckets
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     pairs = written(rows.groupBy("bucket").cogroup(sketches.groupBy("there")).applyInArrow(lists, "a long, b long").distinct())
-    release(rows)
+    release(rows, mixed)
     return pairs
 
 
