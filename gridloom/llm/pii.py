@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import few, release, row_key, running, written
+from gridloom.llm.shared import few, let, release, row_key, running, written
 
 #: The kinds in their order, by their patterns.
 PATTERNS = {
@@ -76,6 +76,8 @@ def _cut(text: Column, pattern: str) -> tuple[Column, Column]:
 
 def _may(kind: str, text: Column) -> Column:
     sign = SEARCHED[kind][1]
+    if kind == "ip":
+        return text.rlike("[0-9][.][0-9]") & text.rlike(SEARCHED[kind][0])
     return F.contains(text, F.lit(sign)) & text.rlike(SEARCHED[kind][0]) if sign else text.rlike("[0-9]{2}|[0-9][ -][0-9]")
 
 
@@ -89,17 +91,20 @@ def spans_of(kind: str, text: Column) -> Column:
     """The accepted matches of a kind: array of (kind, start, end, value, around), end exclusive, in code points; around
     is a hash of up to WINDOW characters on either side, as far as the next match of the kind."""
     found, gaps = _cut(text, SEARCHED[kind][0])
-    after = F.slice(gaps, F.lit(2), F.size(found))
-    rows = F.arrays_zip(found.alias("m"), F.slice(_starts(found, gaps), F.lit(1), F.size(found)).alias("at"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), after.alias("h"))
-    spans = F.transform(
-        F.filter(rows, lambda x: _accepted(kind, x["m"])),
-        lambda x: F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.xxhash64(F.right(x["g"], F.lit(WINDOW)), F.left(x["h"], F.lit(WINDOW))).alias("around")),
-    )
-    return F.when(_may(kind, text), spans).otherwise(F.array().cast(_SPANS))
+    around = lambda x: F.xxhash64(F.right(x["g"], F.lit(WINDOW)), F.left(x["h"], F.lit(WINDOW)))
+    span = lambda x: F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"), x["m"].alias("value"), around(x).alias("around"))
+
+    def spans(cut: Column) -> Column:
+        m, g = cut["found"], cut["gaps"]
+        part = lambda x, k: F.slice(x, F.lit(k), F.size(m))
+        rows = F.arrays_zip(m.alias("m"), part(_starts(m, g), 1).alias("at"), part(g, 1).alias("g"), part(g, 2).alias("h"))
+        return F.transform(F.filter(rows, lambda x: _accepted(kind, x["m"])), span)
+
+    return F.when(_may(kind, text), let(F.struct(found.alias("found"), gaps.alias("gaps")), spans)).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
-    return F.concat(*(spans_of(k, text) for k in PATTERNS))
+    return F.when(text.rlike("[0-9@]"), F.concat(*(spans_of(k, text) for k in PATTERNS))).otherwise(F.array().cast(_SPANS))
 
 
 def _written(spans: Column) -> Column:

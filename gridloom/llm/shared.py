@@ -70,6 +70,11 @@ def release(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often `use` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
     """What `add` makes of the elements before each, for an array: as many elements, the first being `zero`.
 
@@ -79,7 +84,6 @@ def running(values: Column, zero: Column, add: Callable[[Column, Column], Column
     blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STEP).cast("int")), lambda k: block_of(F.slice(x, k * STEP + 1, F.lit(STEP))))
     totals = lambda parts: F.transform(parts, lambda part: F.element_at(part, -1))
     head = lambda x, n: F.slice(x, F.lit(1), n)
-    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
 
     def joined(parts: Column, before: Column) -> Column:
         return F.flatten(F.zip_with(parts, head(before, F.size(parts)), lambda part, by: F.transform(head(part, F.size(part) - 1), lambda y: add(by, y))))
