@@ -25,8 +25,8 @@ of these, those with 100 * intersection >= 75 * union are links. Components are
 stars over the links, never on the driver. Style: Arrow batches with numpy, plain DataFrame
 joins between; intermediate tables are in the shared folder and go when they are read.
 
-Sets are told apart by 64-bit hashes: among 2e10 different texts some ten pairs would be
-taken for one.
+Sets are told apart by 128 bits: a node's name has 64, and the few different sets that share a
+name (among 2e10 sets some ten pairs) are found by a second hash and renamed.
 
 Edge cases: a null or blank text has an empty set and is its own component; fewer than
 five words make one shingle; texts of any length are used whole; rows with the same id are
@@ -66,16 +66,38 @@ GROUP, SENT = 1 << 19, 1 << 18
 BUCKETS, BROADCAST = 64, 1 << 18
 #: Least and most bits of a document id's hash that say whether its text is wanted; eight flags a wanted id between.
 FLAG_BITS = (16, 28)
+#: The bits of a node's name that are used; fewer only in tests.
+NAME = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NONE = -9223372036854775808
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """A hash of a whole set."""
+def hashes_of(tokens: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set; the first is its node's name unless another set has it."""
     if not len(tokens):
-        return 0
+        return 0, 0
     with np.errstate(over="ignore"):
-        both = mix(tokens + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ mix(tokens ^ np.uint64(len(tokens))).sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return int(mix(np.array([both]))[0].astype(np.int64))
+        one = mix(tokens + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+        other = mix(tokens ^ np.uint64(len(tokens))).sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        name, check = mix(np.array([one ^ other, one + other * np.uint64(3)]))
+    return int((name & NAME).astype(np.int64)), int(check.astype(np.int64))
+
+
+def node_of(tokens: np.ndarray, renamed: dict[tuple[int, int], int]) -> int:
+    both = hashes_of(tokens)
+    return renamed.get(both, both[0])
+
+
+def told_apart(scanned: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """The scanned rows with other names for different sets of one name, and these names by both hashes: a few at most, as names are 64 bits."""
+    same = scanned.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node")
+    found = scanned.join(same, "node", "left_semi").select("node", "check").distinct().collect()
+    if not found:
+        return scanned, {}
+    fresh = mix(np.array([r["check"] for r in found], np.int64).view(np.uint64) + np.uint64(1)).view(np.int64).tolist()
+    renamed = {(r["node"], r["check"]): name for r, name in zip(found, fresh, strict=True)}
+    names = F.broadcast(scanned.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "node long, check long, name long"))
+    rows = scanned.join(names, ["node", "check"], "left").withColumn("node", F.coalesce("name", "node")).select(*scanned.columns)
+    return written(rows), renamed
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -129,36 +151,36 @@ def _room(ia: np.ndarray, ib: np.ndarray, n: np.ndarray, sketches: list[bytes])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, node, sketch) of all documents, and the cell counts' parts of each task (part, cells).
+    """Rows (doc_id, n, node, check, sketch) of all documents, and the cell counts' parts of each task (part, cells).
 
     The set's sketch comes with the first document of a node in a task.
     """
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         cells = np.zeros(CELLS, np.uint32)
         for batch in slices(batches):
-            ns, nodes, fresh, sketches = [], [], [], []
+            ns, names, fresh, sketches = [], [], [], []
             for s in shingle_sets(batch.column("text"), WIDTH):
-                node = node_of(s)
+                name = hashes_of(s)
                 ns.append(len(s))
-                nodes.append(node)
-                new = len(s) and node not in seen
+                names.append(name)
+                new = len(s) and name not in seen
                 sketches.append(sketch(s) if new else None)
                 if new:
-                    seen.add(node)
+                    seen.add(name)
                     fresh.append(_cell(s))
             if fresh:
                 cells += np.bincount(np.concatenate(fresh), minlength=CELLS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())], names=_SCAN)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(sketches, pa.binary()), pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())], names=_SCAN)
         if seen:
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(cells, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=_SCAN)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 4, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=_SCAN)
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary, part int, cells binary"))
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long, sketch binary, part int, cells binary"))
 
 
-_SCAN = ["doc_id", "n", "node", "sketch", "part", "cells"]
+_SCAN = ["doc_id", "n", "node", "check", "sketch", "part", "cells"]
 
 
 def frequent_cells(scanned: DataFrame) -> np.ndarray:
@@ -194,7 +216,7 @@ def sent_of(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n + (-MET * n) // OF + 1 + n // EVIDENCE)
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, frequent: np.ndarray, buckets: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """Rows of _SENT: 40 bits of each shingle, packed (more could only part lists, not lose one), and runs of them that belong to one node, the first `inner` of which count when it is the smaller one.
 
     A shingle's postings have one bucket, but those of frequent shingles are dealt by node as well.
@@ -230,7 +252,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
 
         for batch in slices(batches):
             for s in shingle_sets(batch.column("text"), WIDTH):
-                node = node_of(s)
+                node = node_of(s, renamed)
                 if len(s) and node not in seen:
                     seen.add(node)
                     front, inner = leading(s, flags)
@@ -533,7 +555,7 @@ def similar(query: np.ndarray, others: list[np.ndarray]) -> list[int]:
     return [k for k, c in divide_skip(index.lists(query), least).items() if OF * c >= MET * (n + index.sizes[k] - c)]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, at: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, at: DataFrame, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar: texts are sent to the groups they are searched in.
 
     A query set with many candidates is searched in several groups.
@@ -557,7 +579,7 @@ def verified(docs: DataFrame, pairs: DataFrame, at: DataFrame) -> DataFrame:
                 if (a, g) != key:
                     out += close()
                     key, query, ids, held = (a, g), None, [], []
-                if node_of(s) != (a if b is None else b):
+                if node_of(s, renamed) != (a if b is None else b):
                     continue  # another text of the same id
                 if b is None:
                     query = s
@@ -583,24 +605,24 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, component_size, set_id."""
     docs = docs.select("doc_id", "text")
-    scanned = scan(docs)
+    scanned, renamed = told_apart(scan(docs))
     spark = docs.sparkSession
     total = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) >> 22)
-    shared = shared_lists(postings(docs, frequent_cells(scanned), buckets))
+    shared = shared_lists(postings(docs, frequent_cells(scanned), buckets, renamed))
     strong = strong_lists(shared)
     release(shared)
     at = written(places(scanned, strong.select("node").distinct()))
     pairs = written(first_candidates(strong))
     likely = screened(pairs, at)
-    links = verified(docs, likely, at)
+    links = verified(docs, likely, at, renamed)
     release(likely)
     found = components(links)
     later = later_candidates(strong, found, at, buckets)
     more = screened(later.join(pairs, ["a", "b"], "left_anti"), at)
     release(strong, pairs, later)
     if more.limit(1).count():
-        others = verified(docs, more, at)
+        others = verified(docs, more, at, renamed)
         found = components(links.unionByName(others))
         release(others)
     release(at, more, links)

@@ -36,7 +36,9 @@ def roots(n, links):
     return [find(x) for x in range(n)]
 
 
-def test_jaccard_components_with_long_lists(spark):
+@pytest.mark.parametrize("bits", [64, 5])
+def test_jaccard_components_with_long_lists(spark, bits, monkeypatch):
+    monkeypatch.setattr(jaccard, "NAME", np.uint64((1 << bits) - 1))  # few bits: different sets have one name and get others
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)]
     bases = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 6, 40, 90]))] for _ in range(12)]
