@@ -629,8 +629,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = scanned.where("node is not null").select("doc_id", "n", "node")
     rows = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("members"))
-    rows = rows.join(smallest, "root", "left")
-    alone = F.col("n") == 0
+    smallest = written(smallest.where("members > 1"))
+    rows = rows.join(few(smallest, BROADCAST), "root", "left")
+    alone = (F.col("n") == 0) | F.col("members").isNull()
     return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
