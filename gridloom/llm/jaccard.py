@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.shared import few, release, slices, written
+from gridloom.llm.shared import few, give_back, release, slices, written
 from gridloom.llm.wordhash import mix, shingle_sets
 
 WIDTH = 5
@@ -310,6 +310,7 @@ def shared_lists(sent: DataFrame) -> DataFrame:
                 sizes = np.repeat(read("sizes", np.uint32).astype(np.int64) * 2, counts) + (place < np.repeat(read("inner", np.uint8), counts))
                 tokens = read("low", np.uint32) | read("high", np.uint8).astype(np.uint64) << np.uint64(32)
                 out.append(merged_lists(tokens, np.repeat(read("nodes", np.int64), counts), sizes, often))
+        give_back()
         return pa.table({name: np.concatenate([x[k] for x in out]) for k, name in enumerate(("list", "node", "size", "times"))})
 
     return written(sent.groupBy("bucket").applyInArrow(lists, "list long, node long, size long, times long"))
@@ -401,6 +402,7 @@ def later_candidates(strong: DataFrame, found: DataFrame, at: DataFrame, buckets
             return _room(ia, ib, ns, sketches)
 
         a, b = _per_list(table, room) if table.num_rows else (np.zeros(0, np.int64),) * 2
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     pairs = written(rows.groupBy("bucket").cogroup(sketches.groupBy("there")).applyInArrow(lists, "a long, b long").distinct())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.shared import kept_in_worker, slices
+from gridloom.llm.shared import give_back, kept_in_worker, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -265,6 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, keep_words: bool =
         rows.extend(packer.close())
         if not keep_words:
             words.known.clear()
+            give_back()
         if rows:
             yield batch_of()
 

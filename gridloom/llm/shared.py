@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -123,6 +124,14 @@ def windows_of(text: Column, most: int, pieces: int = 10) -> Column:
     return F.when(n <= most, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), piece), " "))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: an idle Python worker is not to hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one holds about `most` bytes of text; a longer text stays whole."""
     for batch in batches:
@@ -133,7 +142,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         for k in range(0, batch.num_rows, step):
             yield batch.slice(k, step)
         del batch
-    pa.default_memory_pool().release_unused()  # an idle worker is not to hold what its last task needed
+    give_back()
 
 
 def kept_in_worker(key: object, make):
