@@ -256,7 +256,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, keep_words: bool =
             rows.clear()
             return made
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):  # words of a slice are held as Python strings, many times its size
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts), strict=True):
                 rows.extend(packer.add(doc_id, ids))
